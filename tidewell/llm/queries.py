@@ -1,6 +1,9 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
+from .packing import op9_best_fit_packing
+from .token_counts import op4_token_counts
 from .token_files import op1_token_files
+from .transducer import op6_transducer
 
-QUERIES = {f.__name__: f for f in (op1_token_files,)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_token_counts, op6_transducer, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
