@@ -1,6 +1,7 @@
 """The queries of this subpackage, for __spark_entry__.py."""
 
 from .language_id import op7_language_id
+from .near_dups import op3_near_duplicates
 from .packing import op9_best_fit_packing
 from .secret_scan import op2_secret_scan
 from .token_counts import op4_token_counts
@@ -8,5 +9,5 @@ from .token_files import op1_token_files
 from .transducer import op6_transducer
 from .url_rules import op10_url_rules
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_secret_scan, op4_token_counts, op6_transducer, op7_language_id, op9_best_fit_packing, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_secret_scan, op3_near_duplicates, op4_token_counts, op6_transducer, op7_language_id, op9_best_fit_packing, op10_url_rules)}
 ORACLE_SQL: dict[str, str] = {}
