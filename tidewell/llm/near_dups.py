@@ -10,7 +10,10 @@
 3. Candidates that set sizes or a 256-bit sketch of the signature rule out go. The rest is confirmed on full
    sets in rounds: the best candidate of each document, then the best between each two components, then all
    that are left between different components. A link inside a component changes nothing and isn't checked.
-4. Components of confirmed links.
+4. Where candidates between two components failed and the larger has over half a window's documents, its
+   region is too dense for neighbours to show every link: the smaller one's documents are compared with all
+   of the larger one in blocks, and at most one link a document and block leaves a block.
+5. Components of confirmed links.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words
 than a shingle the whole sequence is the only shingle; a null doc_id gets a null component and is kept;
@@ -33,7 +36,7 @@ from .components import components
 from .shared import Scratch, partitions, read
 from .tokens import Memo
 
-HASHES, ORDERS, DEPTH = 128, 16, 6
+HASHES, ORDERS, DEPTH = 128, 16, 20
 #: Of 128 two-bit values a pair of similarity 0.8 differs in 19.2 on average, standard deviation 4.0.
 MOST_DIFFERENT = 40
 BROADCAST_IDS = 1_000_000
@@ -113,8 +116,9 @@ def orders(classes: DataFrame) -> DataFrame:
             two = (signature & 3).astype(np.uint64).reshape(-1, HASHES // 32, 32) << (2 * np.arange(32, dtype=np.uint64))
             sketch = np.bitwise_or.reduce(two, axis=2)
             for t in range(ORDERS):
-                prefix = signature[:, t * (HASHES // ORDERS) :][:, :DEPTH].astype(">u4")
-                yield pd.DataFrame({"place": [bytes((t,)) + p.tobytes() for p in prefix], "sketch": [s.tobytes() for s in sketch], "n": batch["n_shingles"], "id": batch["id"]})
+                run = (t * (HASHES // ORDERS) + np.arange(DEPTH)) % HASHES
+                first, rest = signature[:, run[:1]].astype(">u4"), signature[:, run[1:]].astype(np.uint8)
+                yield pd.DataFrame({"place": [bytes((t,)) + f.tobytes() + r.tobytes() for f, r in zip(first, rest, strict=True)], "sketch": [s.tobytes() for s in sketch], "n": batch["n_shingles"], "id": batch["id"]})
 
     return classes.mapInPandas(make, "place binary, sketch binary, n int, id long")
 
@@ -214,6 +218,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(check, "a long, b long")
 
 
+BLOCK = 512
+
+
+def dense_links(opens: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of opens(c, d) (c's documents are few beside d's), at most one for each
+    document of c and block of d."""
+    few = opens.join(groups.withColumnRenamed("component", "c"), "c", "left").select("d", F.coalesce("node", "c").alias("id")).distinct()
+    many = groups.withColumnRenamed("component", "d").withColumnRenamed("node", "id").join(opens.select("d").distinct(), "d", "left_semi")
+    size = lambda df, name: df.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    blocks = size(few, "rows").join(size(many, "columns"), "d")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = few.join(blocks, "d").select("d", "id", part("rows").alias("row"), every("columns").alias("column")).join(sets, "id")
+    many = many.join(blocks, "d").select("d", "id", part("columns").alias("column"), every("rows").alias("row")).join(sets, "id").toDF("id", "d", "column", "row", "set")
+
+    def compare(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(xs) and len(ys):
+            each = [np.frombuffer(y, np.uint64) for y in ys["set"]]
+            sizes, ids = np.array([len(y) for y in each]), ys["id"].to_numpy()
+            values, owner = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for x, raw in zip(xs["id"], xs["set"], strict=True):
+                x_set = np.frombuffer(raw, np.uint64)
+                a, b = np.searchsorted(values, x_set, "left"), np.searchsorted(values, x_set, "right")
+                met = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+                shared = np.bincount(owner[met], minlength=len(each))
+                linked = np.flatnonzero((100 * shared >= percent * (sizes + len(x_set) - shared)) & (ids != x))
+                if len(linked):
+                    y = int(ids[linked].min())
+                    out.append((min(int(x), y), max(int(x), y)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    keys = ["d", "row", "column"]
+    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent similarity), kept."""
     scratch = Scratch(docs.sparkSession, "near-dups")
@@ -229,24 +271,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     links = scratch.table(confirmed(best, sets, percent), "links-0")
     groups = scratch.table(components(links, scratch, "groups-0"), "members-0")
-    tried, k = best, 0
-    while True:
-        k += 1
-        own = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        other = groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        open_ = pairs.join(own, "a", "left").join(other, "b", "left").select("a", "b", "apart", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        open_ = open_.filter("ca <> cb").select("a", "b", "apart", F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d"))
-        open_ = open_.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        if k == 1:
-            open_ = open_.groupBy("c", "d").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-        open_ = scratch.table(open_.select("a", "b"), f"open-{k}")
-        found = scratch.table(confirmed(open_, sets, percent), f"links-{k}")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            groups = scratch.table(components(links, scratch, f"groups-{k}"), f"members-{k}")
-        if k == 2:
-            break
-        tried = tried.select("a", "b").unionByName(open_)
+
+    def between(groups: DataFrame) -> DataFrame:
+        """The candidates whose ends are in different components c < d."""
+        ca, cb = groups.toDF("a", "ca"), groups.toDF("b", "cb")
+        met = pairs.join(ca, "a", "left").join(cb, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+        return met.filter("ca <> cb").select("a", "b", "apart", F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d"))
+
+    def with_links(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        found = scratch.table(found, f"links-{k}")
+        if found.isEmpty():
+            return links, groups
+        more = links.unionByName(found)
+        return more, scratch.table(components(more, scratch, f"groups-{k}"), f"members-{k}")
+
+    tried = best.select("a", "b")
+    pick = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")
+    one = between(groups).join(tried, ["a", "b"], "left_anti").groupBy("c", "d").agg(pick).select("p.a", "p.b")
+    one = scratch.table(one, "open-1")
+    links, groups = with_links(confirmed(one, sets, percent), 1)
+    rest = between(groups).join(tried.unionByName(one), ["a", "b"], "left_anti")
+    links, groups = with_links(confirmed(rest, sets, percent), 2)
+    size = groups.groupBy("component").count()
+    opens = between(groups).select("c", "d").distinct().join(size.toDF("c", "nc"), "c", "left").join(size.toDF("d", "nd"), "d", "left").na.fill(1)
+    swap = F.col("nc") > F.col("nd")
+    opens = opens.filter(F.greatest("nc", "nd") > width // 2).select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"))
+    opens = scratch.table(opens, "open-3")
+    if not opens.isEmpty():
+        links, groups = with_links(dense_links(opens, groups, sets, percent), 3)
     scratch.drop("sets", "candidates")
     rows = prints.select("doc_id", "n_shingles", "hi", "lo").join(heads, ["hi", "lo"], "left")
     rows = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("id"))).otherwise(F.col("doc_id")))
