@@ -151,10 +151,9 @@ def small_plan(lengths: dict[int, int], gaps: dict[int, int], capacity: int) ->
 
 def looked_up(df: DataFrame, plan: pd.DataFrame, key: str, name: str) -> DataFrame:
     """df with the plan row whose key equals its key and whose rank is the last not above its rank, as name_*."""
-    span = int(plan["rank"].max()) + 1 if len(plan) else 1
     keys, ranks = plan[key].to_numpy(), plan["rank"].to_numpy()
     columns = [c for c in plan.columns if c not in (key, "rank")]
-    starts = {int(k): (int(a), int(b)) for k, a, b in zip(*np.unique(keys, return_index=True), np.append(np.unique(keys, return_index=True)[1][1:], len(keys)), strict=True)} if span else {}
+    starts = {int(k): (int(np.searchsorted(keys, k)), int(np.searchsorted(keys, k, "right"))) for k in np.unique(keys)}
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {name}_rank long, {', '.join(f'{name}_{c} long' for c in columns)}"
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
