@@ -175,7 +175,9 @@ def test_near_duplicates_empty(nothing):
     assert near_dups.near_duplicates(nothing).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [200_000, 40])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr(components, "SHARE", share)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(500 + k, 501 + k) for k in range(60)] + [(7, 1000 + k) for k in range(200)]
     label = {x: x for e in edges for x in e}

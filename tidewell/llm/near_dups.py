@@ -7,9 +7,11 @@
    share the first value at least. Where few share it, that is the whole region, and where many do, only
    those with a deeper prefix are near: the depth adapts to each region. Orders are range-partitioned by the
    full prefix, so no region meets in one task; the ends of neighbouring partitions are compared apart.
-3. Candidates that set sizes or a 256-bit sketch of the signature rule out go. The rest is confirmed on full
-   sets in rounds: the best candidate of each document, then the best between each two components, then all
-   that are left between different components. A link inside a component changes nothing and isn't checked.
+3. Candidates that set sizes or a 256-bit sketch of the signature rule out go. The nearest candidate of smaller
+   id of each document is confirmed on full sets; these links make groups. A second pass over the orders, of the documents with
+   candidates alone, takes only those between different groups, drops those that cannot be similar enough by the counts of their
+   shingles in 256 buckets (a bound, so no link is lost), and confirms all others. A link inside a
+   group changes nothing, so it is neither written down nor checked.
 4. Where candidates between two components failed and the larger has over half a window's documents, its
    region is too dense for neighbours to show every link: the smaller one's documents are compared with all
    of the larger one in blocks, and at most one link a document and block leaves a block.
@@ -78,6 +80,13 @@ class Shingler:
         return low.astype(np.uint32)
 
 
+    @staticmethod
+    def buckets(shingles: np.ndarray) -> bytes | None:
+        """How many shingles fall into each bucket; nothing if one holds more than a byte can say."""
+        counts = np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=256)
+        return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 _SHINGLERS: dict[int, Shingler] = {}
 
 
@@ -97,16 +106,16 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
             for text in batch["text"]:
                 found = s.set_of(text)
                 digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
-                rows.append((len(found), *digest.tolist(), s.signature(found).tobytes() if len(found) else None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "hi", "lo", "signature"])
+                rows.append((len(found), *digest.tolist(), s.signature(found).tobytes() if len(found) else None, s.buckets(found)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "hi", "lo", "signature", "buckets"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.mapInPandas(make, "doc_id long, n_shingles long, hi long, lo long, signature binary")
+    return docs.mapInPandas(make, "doc_id long, n_shingles long, hi long, lo long, signature binary, buckets binary")
 
 
 def orders(classes: DataFrame) -> DataFrame:
-    """A row for each representative and order: place (order and prefix), sketch, n, id."""
+    """A row for each representative (id, group, n_shingles, signature) and order: place (order and prefix), sketch, n, id, group."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,16 +127,22 @@ def orders(classes: DataFrame) -> DataFrame:
             for t in range(ORDERS):
                 run = (t * (HASHES // ORDERS) + np.arange(DEPTH)) % HASHES
                 first, rest = signature[:, run[:1]].astype(">u4"), signature[:, run[1:]].astype(np.uint8)
-                yield pd.DataFrame({"place": [bytes((t,)) + f.tobytes() + r.tobytes() for f, r in zip(first, rest, strict=True)], "sketch": [s.tobytes() for s in sketch], "n": batch["n_shingles"], "id": batch["id"]})
+                yield pd.DataFrame({"place": [bytes((t,)) + f.tobytes() + r.tobytes() for f, r in zip(first, rest, strict=True)], "sketch": [s.tobytes() for s in sketch], "n": batch["n_shingles"], "id": batch["id"], "group": batch["group"], "buckets": batch["buckets"]})
 
-    return classes.mapInPandas(make, "place binary, sketch binary, n int, id long")
+    return classes.mapInPandas(make, "place binary, sketch binary, n int, id long, group long, buckets binary")
+
+
+#: With apart = -1: no pair, but two groups a and b that have neighbours which cannot be similar enough.
+PAIRS = "a long, b long, ca long, cb long, apart int"
 
 
 class Neighbours:
-    """Slides over rows in order of place and yields candidate pairs."""
+    """Slides over rows in order of place and yields candidate pairs of different groups: all of them, a before b, or
+    (nearest) only one b of each a, the nearest of smaller id or else the nearest. Links to smaller ids form trees, so a
+    cloud of copies falls into few groups, where mutual nearest neighbours would leave many pairs."""
 
-    def __init__(self, width: int, percent: int):
-        self.width, self.percent, self.tail = width, percent, None
+    def __init__(self, width: int, percent: int, nearest: bool):
+        self.width, self.percent, self.nearest, self.tail = width, percent, nearest, None
 
     def pairs(self, batch: pd.DataFrame) -> pd.DataFrame:
         carried = 0 if self.tail is None else len(self.tail)
@@ -135,33 +150,56 @@ class Neighbours:
         self.tail = rows.iloc[-self.width :]
         heads = np.frombuffer(b"".join(p[:5] for p in rows["place"]), np.uint8).reshape(-1, 5).astype(np.int64) @ (1 << 8 * np.arange(4, -1, -1))
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-        n, ids = rows["n"].to_numpy(np.int64), rows["id"].to_numpy(np.int64)
-        out = []
+        n, ids, group = (rows[c].to_numpy(np.int64) for c in ("n", "id", "group"))
+        out = [np.empty((3, 0), np.int64)]
         for s in range(1, self.width + 1):
             i = np.arange(max(carried, s), len(rows))
             i = i[heads[i] == heads[i - s]]
             if not len(i):
                 break
             small, large = np.minimum(n[i], n[i - s]), np.maximum(n[i], n[i - s])
-            i = i[(100 * small >= self.percent * large) & (ids[i] != ids[i - s])]
+            i = i[(100 * small >= self.percent * large) & (group[i] != group[i - s])]
             x = sketch[i] ^ sketch[i - s]
             apart = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
             i, apart = i[apart <= MOST_DIFFERENT], apart[apart <= MOST_DIFFERENT]
-            out.append(np.stack([np.minimum(ids[i], ids[i - s]), np.maximum(ids[i], ids[i - s]), apart]))
-        found = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
-        return pd.DataFrame({"a": found[0], "b": found[1], "apart": found[2]})
-
-
-SCANNED = "part int, last boolean, place binary, sketch binary, n int, id long, a long, b long, apart int"
-
-
-def candidates(classes: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """a, b (a < b), apart: neighbours in some order, once each."""
+            out.append(np.stack([i, i - s, apart]))
+        x, y, apart = np.concatenate(out, axis=1)
+        met = None
+        if not self.nearest and len(x):
+            possible = np.concatenate([self._possible(rows["buckets"], n, x[k : k + 8192], y[k : k + 8192]) for k in range(0, len(x), 8192)])
+            met = np.unique(np.sort(np.stack([group[x[~possible]], group[y[~possible]]]), axis=0), axis=1)
+            x, y, apart = x[possible], y[possible], apart[possible]
+        if self.nearest:
+            x, y, apart = np.r_[x, y], np.r_[y, x], np.r_[apart, apart]
+            order = np.lexsort((ids[y], apart, ids[y] > ids[x], x))
+            first = order[np.unique(x[order], return_index=True)[1]]
+            x, y, apart = x[first], y[first], apart[first]
+        else:
+            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+        found = pd.DataFrame({"a": ids[x], "b": ids[y], "ca": group[x], "cb": group[y], "apart": apart})
+        if met is not None and met.size:
+            found = pd.concat([found, pd.DataFrame({"a": met[0], "b": met[1], "ca": met[0], "cb": met[1], "apart": -1})])
+        return found
+
+
+    def _possible(self, buckets: pd.Series, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether sets can be similar enough: they share at most the smaller count of each bucket."""
+        counts = lambda at: np.frombuffer(b"".join(buckets.iloc[k] or b"\xff" * 256 for k in at), np.uint8).reshape(-1, 256)
+        shared = np.minimum(counts(x), counts(y)).sum(axis=1, dtype=np.int64)
+        unknown = buckets.isna().to_numpy()
+        return unknown[x] | unknown[y] | ((100 + self.percent) * shared >= self.percent * (n[x] + n[y]))
+
+
+SCANNED = f"part int, last boolean, place binary, sketch binary, n int, id long, group long, buckets binary, {PAIRS}"
+
+
+def candidates(classes: DataFrame, scratch: Scratch, name: str, width: int, percent: int, nearest: bool) -> DataFrame:
+    """The candidates among representatives of different groups, as rows PAIRS; one pair may come from several orders."""
     names = [f.strip().split(" ")[0] for f in SCANNED.split(",")]
     n = int(min(partitions(scratch.spark), classes.count() * ORDERS // 5000 + 1))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, part, first = Neighbours(width, percent), TaskContext.get().partitionId(), []
+        near, part, first = Neighbours(width, percent, nearest), TaskContext.get().partitionId(), []
         for batch in batches:
             if len(batch):
                 if sum(map(len, first)) < width:
@@ -171,7 +209,7 @@ def candidates(classes: DataFrame, scratch: Scratch, width: int, percent: int) -
             yield pd.concat(first).iloc[:width].assign(part=part, last=False).reindex(columns=names)
             yield near.tail.assign(part=part, last=True).reindex(columns=names)
 
-    scanned = scratch.table(orders(classes).repartitionByRange(n, "place").sortWithinPartitions("place", "id").mapInPandas(scan, SCANNED), "scanned")
+    scanned = scratch.table(orders(classes).repartitionByRange(n, "place").sortWithinPartitions("place", "id").mapInPandas(scan, SCANNED), name)
     ends = scanned.filter("part is not null")
     parts = sorted(r[0] for r in ends.select("part").distinct().collect())  # a row a partition
     rank = F.create_map(*[F.lit(x) for k, p in enumerate(parts) for x in (p, k)]) if parts else F.lit(None)
@@ -179,13 +217,10 @@ def candidates(classes: DataFrame, scratch: Scratch, width: int, percent: int) -
 
     def across(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["last", "place", "id"], ascending=[False, True, True])
-        return Neighbours(2 * width, percent).pairs(rows[["place", "sketch", "n", "id"]].reset_index(drop=True))
+        return Neighbours(2 * width, percent, nearest).pairs(rows[["place", "sketch", "n", "id", "group", "buckets"]].reset_index(drop=True))
 
-    met = ends.select("border", "last", "place", "sketch", "n", "id").groupBy("border").applyInPandas(across, "a long, b long, apart int")
-    pairs = scanned.filter("a is not null").select("a", "b", "apart").unionByName(met)
-    out = scratch.table(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
-    scratch.drop("scanned")
-    return out
+    met = ends.select("border", "last", "place", "sketch", "n", "id", "group", "buckets").groupBy("border").applyInPandas(across, PAIRS)
+    return scanned.filter("a is not null").select("a", "b", "ca", "cb", "apart").unionByName(met)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -263,21 +298,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     prints = scratch.table(fingerprints(docs, words), "prints")
     sets_of = prints.filter("n_shingles > 0 and doc_id is not null")
     heads = scratch.table(sets_of.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "heads")
-    classes = sets_of.join(heads.select("hi", "lo", "id"), ["hi", "lo"]).filter("doc_id = id").select("id", "n_shingles", "signature")
-    pairs = candidates(classes, scratch, width, percent)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    classes = sets_of.join(heads.select("hi", "lo", "id"), ["hi", "lo"]).filter("doc_id = id").select("id", "n_shingles", "signature", "buckets")
+    alone = classes.withColumns({"group": F.col("id"), "buckets": F.lit(None).cast("binary")})  # the first pass does without
+    nearest = candidates(alone, scratch, "scan-0", width, percent, nearest=True).groupBy("a").agg(F.min_by("b", F.struct(F.col("b") > F.col("a"), "apart", "b")).alias("b"))
+    nearest = scratch.table(nearest, "nearest")
+    ids = nearest.select(F.col("a").alias("id"))  # every document with a candidate
     sets = scratch.table(shingle_sets(docs, ids, words), "sets")
-
-    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    links = scratch.table(confirmed(best, sets, percent), "links-0")
+    pairs = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = scratch.table(confirmed(pairs, sets, percent), "links-0")
     groups = scratch.table(components(links, scratch, "groups-0"), "members-0")
 
-    def between(groups: DataFrame) -> DataFrame:
-        """The candidates whose ends are in different components c < d."""
-        ca, cb = groups.toDF("a", "ca"), groups.toDF("b", "cb")
-        met = pairs.join(ca, "a", "left").join(cb, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-        return met.filter("ca <> cb").select("a", "b", "apart", F.least("ca", "cb").alias("c"), F.greatest("ca", "cb").alias("d"))
-
     def with_links(found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         found = scratch.table(found, f"links-{k}")
         if found.isEmpty():
@@ -285,21 +315,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
         more = links.unionByName(found)
         return more, scratch.table(components(more, scratch, f"groups-{k}"), f"members-{k}")
 
-    tried = best.select("a", "b")
-    pick = F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")
-    one = between(groups).join(tried, ["a", "b"], "left_anti").groupBy("c", "d").agg(pick).select("p.a", "p.b")
-    one = scratch.table(one, "open-1")
-    links, groups = with_links(confirmed(one, sets, percent), 1)
-    rest = between(groups).join(tried.unionByName(one), ["a", "b"], "left_anti")
-    links, groups = with_links(confirmed(rest, sets, percent), 2)
+    some = classes.join(ids, "id", "left_semi").join(groups.toDF("id", "component"), "id", "left").withColumn("group", F.coalesce("component", "id"))
+    rest = scratch.table(candidates(some, scratch, "scan-1", width, percent, nearest=False).select("a", "b", "ca", "cb", (F.col("apart") >= 0).alias("possible")).distinct(), "rest")
+    links, groups = with_links(confirmed(rest.filter("possible"), sets, percent), 1)
     size = groups.groupBy("component").count()
-    opens = between(groups).select("c", "d").distinct().join(size.toDF("c", "nc"), "c", "left").join(size.toDF("d", "nd"), "d", "left").na.fill(1)
+    name = lambda c, to: groups.toDF(c, to)
+    opens = rest.select("ca", "cb").distinct().join(name("ca", "c"), "ca", "left").join(name("cb", "d"), "cb", "left").select(F.coalesce("c", "ca").alias("c"), F.coalesce("d", "cb").alias("d"))
+    opens = opens.filter("c <> d").select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct().join(size.toDF("c", "nc"), "c", "left").join(size.toDF("d", "nd"), "d", "left").na.fill(1)
     swap = F.col("nc") > F.col("nd")
     opens = opens.filter(F.greatest("nc", "nd") > width // 2).select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"))
-    opens = scratch.table(opens, "open-3")
+    opens = scratch.table(opens, "open-2")
     if not opens.isEmpty():
-        links, groups = with_links(dense_links(opens, groups, sets, percent), 3)
-    scratch.drop("sets", "candidates")
+        links, groups = with_links(dense_links(opens, groups, sets, percent), 2)
+    scratch.drop("sets", "scan-0", "scan-1", "rest")
     rows = prints.select("doc_id", "n_shingles", "hi", "lo").join(heads, ["hi", "lo"], "left")
     rows = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("id"))).otherwise(F.col("doc_id")))
     rows = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
