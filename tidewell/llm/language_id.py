@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read
-from .tokens import Memo
+from .tokens import Memo, held
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,12 +76,12 @@ class SuffixAutomaton:
 
 
 class Model:
-    """samples: text by language."""
+    """samples: (language, text), in order."""
 
-    def __init__(self, samples: dict[str, str]):
-        self.languages = sorted(samples)
-        self.automata = [SuffixAutomaton(samples[x]) for x in self.languages]
-        self.memo = Memo(lambda word: np.array([a.phrases(f" {word} ") for a in self.automata], np.int64), 300_000)
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
+        self.languages = [x for x, _ in samples]
+        self.automata = [SuffixAutomaton(text) for _, text in samples]
+        self.memo = Memo(lambda word: tuple(a.phrases(f" {word} ") for a in self.automata), 300_000)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(WORD.findall(text.lower())) if text else None
@@ -94,9 +94,6 @@ class Model:
         return self.languages[best], float(1 - share[best] / others.min()) if len(others) else 1.0
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def learn(docs: DataFrame, texts: int = 300, chars: int = 400, letters: int = 60_000) -> dict[str, str]:
     """A sample of text by language of the rows of docs(doc_id, text, lang): at most `letters` characters each."""
     labelled = docs.filter("lang is not null and text is not null and doc_id is not null")
@@ -121,14 +118,10 @@ def held_out() -> F.Column:
 
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """docs(doc_id, text, held_out) with lang_pred and score; no shuffle."""
-    key = hash(tuple(sorted(samples.items())))
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: letters * languages
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(shared.value)
-        model = _MODELS[key]
+        model = held(Model, tuple(sorted(shared.value.items())))
         for batch in batches:
             found = [model.predict(t) for t in batch["text"]]
             yield batch.drop(columns="text").assign(lang_pred=[x for x, _ in found], score=[s for _, s in found])

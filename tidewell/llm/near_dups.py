@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import Scratch, partitions, read
-from .tokens import Memo
+from .tokens import Memo, held
 
 HASHES, ORDERS, DEPTH = 128, 16, 20
 #: Of 128 two-bit values a pair of similarity 0.8 differs in 19.2 on average, standard deviation 4.0.
@@ -87,13 +87,8 @@ class Shingler:
         return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(words: int) -> Shingler:
-    if words not in _SHINGLERS:
-        _SHINGLERS[words] = Shingler(words)
-    return _SHINGLERS[words]
+    return held(Shingler, words)
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:

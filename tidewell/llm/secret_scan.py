@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read
+from .tokens import held
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -110,13 +111,8 @@ class Scanner:
         return ",".join(f"{self.kinds[i].name}:{a}:{b}" for a, i, b in spans)
 
 
-_SCANNERS: dict[tuple[Kind, ...], Scanner] = {}
-
-
 def scanner() -> Scanner:
-    if KINDS not in _SCANNERS:
-        _SCANNERS[KINDS] = Scanner()
-    return _SCANNERS[KINDS]
+    return held(Scanner)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import read
-from .tokens import BYTE_CHARS, CHUNK, ODD, Memo, vocabulary
+from .tokens import BYTE_CHARS, CHUNK, ODD, Memo, held, vocabulary
 
 
 class HeapCounter:
@@ -88,13 +88,8 @@ class HeapCounter:
         return count
 
 
-_COUNTERS: dict[str, HeapCounter] = {}
-
-
 def counter(path: str) -> HeapCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = HeapCounter(path)
-    return _COUNTERS[path]
+    return held(HeapCounter, path)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:

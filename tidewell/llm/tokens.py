@@ -17,7 +17,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 CHUNK = re.compile(rf"\s?[{LATIN}]+(?!\w)|\s?[!-&(-/:-@\[-^`{{-~]+(?=[\s0-9{LATIN}]|$)|\s?\S+|\s+(?!\S)|\s+")
 #: Python counts these controls as white space and the vocabularies don't.
 ODD = re.compile("[\x1c-\x1f]")
-MEMO_ENTRIES, MEMO_CHARS = 1_000_000, 40
+MEMO_ENTRIES, MEMO_CHARS = 400_000, 40
 
 
 class Memo(dict):
@@ -35,6 +35,18 @@ class Memo(dict):
         return value
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(kind, *key):
+    """kind(*key), once a Python worker. A worker serves several stages one after another; what an earlier one held goes
+    first, so a worker has the memos of one model at a time."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = kind(*key)
+    return _HELD[kind, key]
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -80,11 +92,6 @@ class LibraryEncoder:
         return b"".join(map(self.memo.__getitem__, CHUNK.findall(text)))
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def library_encoder(path: str) -> LibraryEncoder:
     """One encoder a Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = LibraryEncoder(path)
-    return _ENCODERS[path]
+    return held(LibraryEncoder, path)

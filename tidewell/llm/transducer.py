@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import read
-from .tokens import CHUNK, ODD, Memo, vocabulary
+from .tokens import CHUNK, ODD, Memo, held, vocabulary
 
 NONE: tuple[int, ...] = ()
 
@@ -179,7 +179,7 @@ class Codec:
 
         self.transducer = Transducer(path)
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo = Memo(self.chunk, 700_000)
+        self.memo = Memo(self.chunk)
 
     def chunk(self, text: str) -> bytes:
         encode = self.transducer.encode
@@ -204,13 +204,8 @@ class Codec:
         yield machine.finish()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return held(Codec, path)
 
 
 def encode_documents(docs: DataFrame, ranks: str) -> DataFrame:
