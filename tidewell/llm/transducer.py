@@ -29,6 +29,8 @@ from .shared import read
 from .tokens import CHUNK, ODD, Memo, held, vocabulary
 
 NONE: tuple[int, ...] = ()
+#: The last settled token where no later one can follow it directly.
+ANY = -2
 
 
 class Transducer:
@@ -114,14 +116,22 @@ class Transducer:
         else:
             raise ValueError("a byte without a token")
         chains, window = (*chains[cut:], (*chain, token)), window[cut:]
-        settled, shortest = 0, min(map(len, chains))
+        first, settled = chains[0], 0
         if len(chains) == 1:
-            settled = shortest
+            settled = len(first)
         else:
-            while settled < shortest and len({c[settled] for c in chains}) == 1:
-                settled += 1
-        out = chains[0][:settled]
-        to = self._state((window, out[-1] if out else last, tuple([c[settled:] for c in chains]) if settled else chains))
+            others = chains[1:]
+            for settled, t in enumerate(first):  # noqa: B007
+                if any([len(c) <= settled or c[settled] != t for c in others]):
+                    break
+            else:
+                settled = len(first)
+        out = first[:settled]
+        if settled:
+            last, chains = out[-1], tuple([c[settled:] for c in chains])
+        if NONE not in chains:  # every start has a token of its own before it
+            last = ANY
+        to = self._state((window, last, chains))
         self.steps[k][byte] = (to, out)
         return to, out
 
