@@ -1,6 +1,7 @@
 """Hand rows with worked-out results, and every query against its SQL."""
 
 import datetime
+import html
 import json
 import time
 from pathlib import Path
@@ -51,6 +52,19 @@ def test_text(spark):
     assert column(spark, ["x" * 80], text.excerpt) == ["x" * 71 + "…"]
 
 
+def test_whole_texts(spark, tmp_path):
+    """Documents with entities pass through as well, held against html.unescape."""
+    values = ["a &amp; b", "&lt;p&gt;  x&nbsp;y", "&#72;i &#x4f60;&#22909;", "Q&A", "&amp;&amp;&amp;", "#a&amp;b &hearts;", "&eacute;", "&notit; &ampx", "plain", "", "&nbsp;", None]
+    spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [" ".join(html.unescape(v or "").split()) for v in values]
+    got = QUERIES["clean_text_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r["cleaned"] for r in got] == want
+    got = QUERIES["text_flags_whole"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    letters = lambda t: sum(c.isalnum() for c in t)
+    assert [r["meaningful"] for r in got] == [len(t) >= 3 and any(c.isalpha() for c in t) for t in want]
+    assert [r["low_signal"] for r in got] == [letters(" ".join(w for w in t.split() if w[0] != "#")) < 2 for t in want]
+
+
 @pytest.mark.parametrize("aliases,value,want", [
     (["新区开服", "开服时间", "新区", "开服"], "新区开服时间", 1), (["boss"], "world boss, xboss", 1), (["职业转换", "转职", "职业"], "职业转换", 1),
     (["开新区", "新区开服", "开服"], "开新区开服", 1), (["世界boss", "boss"], "世界bossboss", 1), (["boss"], "", 0),

@@ -86,6 +86,12 @@ def clean_text(spark, sf_dir):
     return docs.select("doc_id", F.when(~F.contains("text", F.lit("&")), text.clean(F.col("text"))).alias("cleaned"))
 
 
+@query()
+def clean_text_whole(spark, sf_dir):
+    """As clean_text, of every document: DuckDB resolves no entities, so there's no SQL."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
 @query("WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 72 THEN t ELSE rtrim(t[:71]) || '…' END AS title FROM c")
 def excerpt_title(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.excerpt(F.col("text")).alias("title"))
@@ -108,6 +114,13 @@ def text_flags(spark, sf_dir):
     return docs.select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"), text.is_low_signal(F.col("text")).alias("low_signal"))
 
 
+@query()
+def text_flags_whole(spark, sf_dir):
+    """As text_flags, of every document, without SQL."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"), text.is_low_signal(F.col("text")).alias("low_signal"))
+
+
 @query("SELECT o_orderkey, CAST(floor(CAST(regexp_extract(CAST(o_orderkey AS VARCHAR), '[0-9]+') AS DECIMAL(28,8)) * 10000) AS BIGINT) AS n FROM orders")
 def parse_count(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.parse_count(F.concat(F.lit("≈"), F.format_number("o_orderkey", 0), F.lit("万"))).alias("n"))
