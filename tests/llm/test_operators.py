@@ -171,6 +171,29 @@ def test_near_duplicates(spark, texts, words):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(plain_links(rows, words, 80), key=lambda r: tuple(map(key, r)))
 
 
+def test_near_duplicates_of_a_template(spark):
+    """Thousands of variants mostly just below the threshold: every window is full, and most groups are of a pair."""
+    rng, n, size = np.random.default_rng(5), 3000, 200
+    words = np.tile(np.arange(size), (n, 1))  # a word has its place, so shared words are equal places
+    fresh = itertools.count(size)
+    for x in range(0, n, 2):
+        at = rng.permutation(size)
+        for k in at[:4]:
+            words[x : x + 2, k] = next(fresh)
+        for y, places in ((x, at[4:14]), (x + 1, at[14:24])):
+            words[y, places] = [next(fresh) for _ in places]
+    shared = np.array([(words == w).sum(axis=1) for w in words])
+    a, b = np.nonzero(np.triu(100 * shared >= 80 * (2 * size - shared), 1))
+    want = np.arange(n)
+    nodes, smallest = components.stars(a, b)
+    want[nodes] = smallest
+    assert len(np.unique(want)) > n // 4
+    ids = rng.permutation(n)  # neighbours in the table are no pairs
+    docs = spark.createDataFrame([(int(k), " ".join(f"v{w}" for w in words[k])) for k in ids], "doc_id long, text string")
+    got = near_dups.near_duplicates(docs, words=1)
+    assert rows_of(got, "doc_id", "component_id") == list(enumerate(want.tolist()))
+
+
 def test_near_duplicates_empty(nothing):
     assert near_dups.near_duplicates(nothing).count() == 0
 

@@ -15,7 +15,10 @@
 4. Where candidates between two components failed and the larger has over half a window's documents, its
    region is too dense for neighbours to show every link: the smaller one's documents are compared with all
    of the larger one in blocks, and at most one link a document and block leaves a block.
-5. Components of confirmed links.
+5. Where more documents than a window holds share the first two values of an order, a window may miss links whatever
+   the components' sizes. The first scan writes down all documents of such runs; where a run has several groups, its
+   documents are compared in blocks, each pair in the first order that it shares two values in.
+6. Components of confirmed links.
 
 Defined results: a null text or one without words has an empty set and links with nothing; with fewer words
 than a shingle the whole sequence is the only shingle; a null doc_id gets a null component and is kept;
@@ -41,6 +44,9 @@ from .tokens import Memo, held
 HASHES, ORDERS, DEPTH = 128, 16, 20
 #: Of 128 two-bit values a pair of similarity 0.8 differs in 19.2 on average, standard deviation 4.0.
 MOST_DIFFERENT = 40
+#: Bytes of a place that make a run: the order, its first value and 8 bits of the second. A pair of similarity 0.8
+#: shares two values in none of the orders once in 13 million times.
+RUN = 6
 BROADCAST_IDS = 1_000_000
 
 
@@ -109,6 +115,18 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(make, "doc_id long, n_shingles long, hi long, lo long, signature binary, buckets binary")
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each value, four words a document."""
+    two = (signature & 3).astype(np.uint64).reshape(-1, HASHES // 32, 32) << (2 * np.arange(32, dtype=np.uint64))
+    return np.bitwise_or.reduce(two, axis=2)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many values sketches differ."""
+    z = x ^ y
+    return np.bitwise_count((z | z >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
+
+
 def orders(classes: DataFrame) -> DataFrame:
     """A row for each representative (id, group, n_shingles, signature) and order: place (order and prefix), sketch, n, id, group."""
 
@@ -117,8 +135,7 @@ def orders(classes: DataFrame) -> DataFrame:
             if not len(batch):
                 continue
             signature = np.frombuffer(b"".join(batch["signature"]), np.uint32).reshape(-1, HASHES)
-            two = (signature & 3).astype(np.uint64).reshape(-1, HASHES // 32, 32) << (2 * np.arange(32, dtype=np.uint64))
-            sketch = np.bitwise_or.reduce(two, axis=2)
+            sketch = sketches(signature)
             for t in range(ORDERS):
                 run = (t * (HASHES // ORDERS) + np.arange(DEPTH)) % HASHES
                 first, rest = signature[:, run[:1]].astype(">u4"), signature[:, run[1:]].astype(np.uint8)
@@ -154,8 +171,7 @@ class Neighbours:
                 break
             small, large = np.minimum(n[i], n[i - s]), np.maximum(n[i], n[i - s])
             i = i[(100 * small >= self.percent * large) & (group[i] != group[i - s])]
-            x = sketch[i] ^ sketch[i - s]
-            apart = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+            apart = differing(sketch[i], sketch[i - s])
             i, apart = i[apart <= MOST_DIFFERENT], apart[apart <= MOST_DIFFERENT]
             out.append(np.stack([i, i - s, apart]))
         x, y, apart = np.concatenate(out, axis=1)
@@ -185,27 +201,57 @@ class Neighbours:
         return unknown[x] | unknown[y] | ((100 + self.percent) * shared >= self.percent * (n[x] + n[y]))
 
 
-SCANNED = f"part int, last boolean, place binary, sketch binary, n int, id long, group long, buckets binary, {PAIRS}"
+class Runs:
+    """The rows (run, id) of the runs longer than width, and of the first and the last run of a partition, whose other rows
+    may lie in the next one."""
+
+    def __init__(self, width: int):
+        self.width, self.first = width, True
+        self.keys = self.ids = np.empty(0, np.int64)
+
+    def rows(self, batch: pd.DataFrame) -> pd.DataFrame:
+        heads = np.frombuffer(b"".join(p[:RUN] for p in batch["place"]), np.uint8).reshape(-1, RUN).astype(np.int64)
+        keys = np.concatenate([self.keys, heads @ (1 << 8 * np.arange(RUN - 1, -1, -1))])
+        ids = np.concatenate([self.ids, batch["id"].to_numpy(np.int64)])
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[starts, len(keys)])
+        given = sizes > self.width
+        given[0] |= self.first
+        given[-1] = False  # it may go on
+        self.first &= len(starts) == 1
+        self.keys, self.ids = keys[starts[-1] :], ids[starts[-1] :]
+        given = np.repeat(given, sizes)
+        return pd.DataFrame({"run": keys[given], "id": ids[given]})
+
+    def rest(self) -> pd.DataFrame:
+        return pd.DataFrame({"run": self.keys, "id": self.ids})
+
+
+SCANNED = f"part int, last boolean, place binary, sketch binary, n int, id long, group long, buckets binary, run long, {PAIRS}"
 
 
-def candidates(classes: DataFrame, scratch: Scratch, name: str, width: int, percent: int, nearest: bool) -> DataFrame:
-    """The candidates among representatives of different groups, as rows PAIRS; one pair may come from several orders."""
+def candidates(classes: DataFrame, scratch: Scratch, name: str, width: int, percent: int, nearest: bool) -> tuple[DataFrame, DataFrame]:
+    """The candidates among representatives of different groups, as rows PAIRS (one pair may come from several orders), and
+    (nearest) the rows run and id of all runs that may be longer than a window."""
     names = [f.strip().split(" ")[0] for f in SCANNED.split(",")]
     n = int(min(partitions(scratch.spark), classes.count() * ORDERS // 5000 + 1))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, part, first = Neighbours(width, percent, nearest), TaskContext.get().partitionId(), []
+        near, part, first, runs = Neighbours(width, percent, nearest), TaskContext.get().partitionId(), [], Runs(width)
         for batch in batches:
             if len(batch):
                 if sum(map(len, first)) < width:
                     first.append(batch.iloc[:width])
                 yield near.pairs(batch).reindex(columns=names)
+                if nearest:
+                    yield runs.rows(batch).reindex(columns=names)
         if first:
+            yield runs.rest().reindex(columns=names)
             yield pd.concat(first).iloc[:width].assign(part=part, last=False).reindex(columns=names)
             yield near.tail.assign(part=part, last=True).reindex(columns=names)
 
     scanned = scratch.table(orders(classes).repartitionByRange(n, "place").sortWithinPartitions("place", "id").mapInPandas(scan, SCANNED), name)
-    ends = scanned.filter("part is not null")
+    ends = scanned.filter("part is not null").drop("run")
     parts = sorted(r[0] for r in ends.select("part").distinct().collect())  # a row a partition
     rank = F.create_map(*[F.lit(x) for k, p in enumerate(parts) for x in (p, k)]) if parts else F.lit(None)
     ends = ends.withColumn("border", (rank[F.col("part")] + F.when(F.col("last"), 0).otherwise(-1)).cast("int")) if parts else ends.withColumn("border", F.lit(0))
@@ -215,7 +261,7 @@ def candidates(classes: DataFrame, scratch: Scratch, name: str, width: int, perc
         return Neighbours(2 * width, percent, nearest).pairs(rows[["place", "sketch", "n", "id", "group", "buckets"]].reset_index(drop=True))
 
     met = ends.select("border", "last", "place", "sketch", "n", "id", "group", "buckets").groupBy("border").applyInPandas(across, PAIRS)
-    return scanned.filter("a is not null").select("a", "b", "ca", "cb", "apart").unionByName(met)
+    return scanned.filter("a is not null").select("a", "b", "ca", "cb", "apart").unionByName(met), scanned.filter("run is not null").select("run", "id")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -286,6 +332,112 @@ def dense_links(opens: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
+REGION = 2048
+
+
+def several_groups(members: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """The members(run, id), with their groups, of runs of more than width documents and of more than one group."""
+    placed = members.join(groups.toDF("id", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    runs = placed.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    return placed.join(runs.filter((F.col("n") > width) & (F.col("low") < F.col("high"))).select("run"), "run", "left_semi").distinct()
+
+
+def marks(classes: DataFrame) -> DataFrame:
+    """id, n_shingles, sketch and the first two values of each order (8 bits of the second)."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.arange(ORDERS) * (HASHES // ORDERS)
+        for batch in batches:
+            if len(batch):
+                signature = np.frombuffer(b"".join(batch["signature"]), np.uint32).reshape(-1, HASHES)
+                heads = signature[:, at].astype(np.uint64) << np.uint64(8) | (signature[:, at + 1] & 255).astype(np.uint64)
+                yield pd.DataFrame({"id": batch["id"], "n": batch["n_shingles"], "sketch": [x.tobytes() for x in sketches(signature)], "heads": [x.tobytes() for x in heads]})
+
+    return classes.select("id", "n_shingles", "signature").mapInPandas(make, "id long, n long, sketch binary, heads binary")
+
+
+class Block:
+    """The documents of a run that meet in a task, and which pairs are possible."""
+
+    def __init__(self, run: int, percent: int, xs: pd.DataFrame, ys: pd.DataFrame):
+        self.before, self.percent = run >> 8 * (RUN - 1), percent
+        self.groups = np.concatenate([xs["group"].to_numpy(np.int64), ys["group"].to_numpy(np.int64)])
+        self.gx, self.gy = self.groups[: len(xs)], self.groups[len(xs) :]  # views: a link makes two groups one
+        whole = lambda v, k: np.frombuffer(b"".join(v), np.uint64).reshape(-1, k)
+        (self.nx, self.sx, self.hx), (self.ny, self.sy, self.hy) = ((side["n"].to_numpy(np.int64), whole(side["sketch"], HASHES // 32), whole(side["heads"], ORDERS)) for side in (xs, ys))
+
+    def possible(self, to: slice) -> np.ndarray:
+        """Pairs that share two values in an earlier order have been met there."""
+        nx, ny = self.nx[to, None], self.ny
+        out = (self.gx[to, None] != self.gy) & (100 * np.minimum(nx, ny) >= self.percent * np.maximum(nx, ny))
+        for t in range(self.before):
+            out &= self.hx[to, t, None] != self.hy[:, t]
+        i, j = np.nonzero(out)
+        out[i, j] = differing(self.sx[to][i], self.sy[j]) <= MOST_DIFFERENT
+        return out
+
+
+BLOCK_KEYS, BLOCK_ROWS = ["run", "p", "q", "row", "column"], "run long, p string, q string, row int, column int, side boolean, id long, group long, n long, sketch binary, heads binary"
+STEP = 64
+
+
+def run_candidates(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The documents, block by block, that have a possible link to another group in a run of placed(run, id, group). A group of more
+    than a block has blocks of its own, which are not compared with each other."""
+    large = placed.groupBy("run", "group").count().filter(F.col("count") > REGION).select("run", "group", F.col("group").cast("string").alias("own"))
+    placed = placed.join(large, ["run", "group"], "left").na.fill("", ["own"])
+    blocks = placed.groupBy("run", "own").agg(F.ceil(F.count(F.lit(1)) / REGION).cast("int").alias("blocks"))
+    meet = blocks.toDF("run", "p", "rows").join(blocks.toDF("run", "q", "columns"), "run").filter("p < q or p = '' and q = ''")
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    data = placed.join(marks(classes), "id")
+    xs = data.withColumnRenamed("own", "p").join(meet, ["run", "p"]).withColumn("row", part("rows"))
+    xs = xs.withColumn("column", F.explode(F.sequence(F.when(F.col("q") == "", F.col("row")).otherwise(0), F.col("columns") - 1)))
+    ys = data.withColumnRenamed("own", "q").join(meet, ["run", "q"]).withColumn("column", part("columns"))
+    ys = ys.withColumn("row", F.explode(F.sequence(F.lit(0), F.when(F.col("q") == "", F.col("column")).otherwise(F.col("rows") - 1))))
+    names = [*BLOCK_KEYS, "id", "group", "n", "sketch", "heads"]
+
+    def meeting(key: tuple, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        if not len(xs) or not len(ys):
+            return pd.concat([xs, ys]).iloc[:0].assign(side=True)
+        block, left, right = Block(int(key[0]), percent, xs, ys), np.zeros(len(xs), bool), np.zeros(len(ys), bool)
+        for k in range(0, len(xs), STEP):
+            possible = block.possible(slice(k, k + STEP))
+            left[k : k + STEP], right = possible.any(axis=1), right | possible.any(axis=0)
+        return pd.concat([xs[left].assign(side=True), ys[right].assign(side=False)])
+
+    return xs.select(*names).groupBy(*BLOCK_KEYS).cogroup(ys.select(*names).toDF(*names).groupBy(*BLOCK_KEYS)).applyInPandas(meeting, BLOCK_ROWS)
+
+
+def run_links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups among the rows of run_candidates; a link that others of its block already make is not written down."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        xs, ys, out = rows[rows["side"]], rows[~rows["side"]], []
+        if len(xs) and len(ys):
+            block = Block(int(key[0]), percent, xs, ys)
+            (x_sets, x_ids), (y_sets, y_ids) = (([np.frombuffer(v, np.uint64) for v in side["set"]], side["id"].tolist()) for side in (xs, ys))
+            ny = np.array([len(v) for v in y_sets])
+            values, owner = np.concatenate(y_sets), np.repeat(np.arange(len(y_sets)), ny)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for k in range(0, len(xs), STEP):
+                possible = block.possible(slice(k, k + STEP))
+                for x in k + np.flatnonzero(possible.any(axis=1)):
+                    maybe = np.flatnonzero(possible[x - k] & (block.gy != block.gx[x]))
+                    if not len(maybe):
+                        continue
+                    a, b = np.searchsorted(values, x_sets[x], "left"), np.searchsorted(values, x_sets[x], "right")
+                    met = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange((b - a).sum())
+                    shared = np.bincount(owner[met], minlength=len(y_sets))[maybe]
+                    for y in maybe[100 * shared >= percent * (ny[maybe] + len(x_sets[x]) - shared)]:
+                        if block.gy[y] != block.gx[x]:
+                            block.groups[block.groups == block.gy[y]] = block.gx[x]
+                            out.append((min(x_ids[x], y_ids[y]), max(x_ids[x], y_ids[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return found.join(sets, "id").groupBy(*BLOCK_KEYS).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of percent similarity), kept."""
     scratch = Scratch(docs.sparkSession, "near-dups")
@@ -295,7 +447,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     heads = scratch.table(sets_of.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "heads")
     classes = sets_of.join(heads.select("hi", "lo", "id"), ["hi", "lo"]).filter("doc_id = id").select("id", "n_shingles", "signature", "buckets")
     alone = classes.withColumns({"group": F.col("id"), "buckets": F.lit(None).cast("binary")})  # the first pass does without
-    nearest = candidates(alone, scratch, "scan-0", width, percent, nearest=True).groupBy("a").agg(F.min_by("b", F.struct(F.col("b") > F.col("a"), "apart", "b")).alias("b"))
+    nearest, members = candidates(alone, scratch, "scan-0", width, percent, nearest=True)
+    nearest = nearest.groupBy("a").agg(F.min_by("b", F.struct(F.col("b") > F.col("a"), "apart", "b")).alias("b"))
     nearest = scratch.table(nearest, "nearest")
     ids = nearest.select(F.col("a").alias("id"))  # every document with a candidate
     sets = scratch.table(shingle_sets(docs, ids, words), "sets")
@@ -311,7 +464,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
         return more, scratch.table(components(more, scratch, f"groups-{k}"), f"members-{k}")
 
     some = classes.join(ids, "id", "left_semi").join(groups.toDF("id", "component"), "id", "left").withColumn("group", F.coalesce("component", "id"))
-    rest = scratch.table(candidates(some, scratch, "scan-1", width, percent, nearest=False).select("a", "b", "ca", "cb", (F.col("apart") >= 0).alias("possible")).distinct(), "rest")
+    rest = scratch.table(candidates(some, scratch, "scan-1", width, percent, nearest=False)[0].select("a", "b", "ca", "cb", (F.col("apart") >= 0).alias("possible")).distinct(), "rest")
     links, groups = with_links(confirmed(rest.filter("possible"), sets, percent), 1)
     size = groups.groupBy("component").count()
     name = lambda c, to: groups.toDF(c, to)
@@ -322,7 +475,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     opens = scratch.table(opens, "open-2")
     if not opens.isEmpty():
         links, groups = with_links(dense_links(opens, groups, sets, percent), 2)
-    scratch.drop("sets", "scan-0", "scan-1", "rest")
+    scratch.drop("sets", "scan-1", "rest")
+    placed = scratch.table(several_groups(members, groups, width), "placed")
+    if not placed.isEmpty():
+        found = scratch.table(run_candidates(placed, classes, percent), "found")
+        if not found.isEmpty():
+            sets = scratch.table(shingle_sets(docs, found.select("id").distinct(), words), "sets-3")
+            links, groups = with_links(run_links(found, sets, percent), 3)
+            scratch.drop("sets-3")
+        scratch.drop("found")
+    scratch.drop("placed", "scan-0")
     rows = prints.select("doc_id", "n_shingles", "hi", "lo").join(heads, ["hi", "lo"], "left")
     rows = rows.withColumn("id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("id"))).otherwise(F.col("doc_id")))
     rows = rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
