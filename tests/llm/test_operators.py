@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import components, language_id, near_dups, packing, queries, secret_scan, shared, text_search, token_counts, token_files, transducer, url_rules, vector_dups
 from tidewell.llm.tokens import vocabulary
@@ -283,7 +284,7 @@ def test_language_id(spark, odd, nothing):
     assert (test["lang"] == test["lang_pred"]).mean() > 0.9
     assert got["score"].between(0, 1).all()
     samples = language_id.learn(docs)
-    out = language_id.predict_languages(odd.select("doc_id", "text", "set"), samples).toPandas()
+    out = language_id.predict_languages(odd, samples).toPandas()
     assert len(out) == odd.count() and (out.loc[out["doc_id"].isin([0, 1, 2]), "lang_pred"] == "und").all()
     assert language_id.learn(nothing) == {} and language_id.predict_languages(nothing, {}).count() == 0
     assert set(language_id.predict_languages(odd.select("doc_id", "text"), {}).toPandas()["lang_pred"]) == {"und"}
@@ -352,7 +353,7 @@ def test_vector_duplicates_recall(spark):
         a, b = components.stars(np.concatenate([a, q]), np.concatenate([b, m]))
     want = np.arange(n)
     want[a] = b
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
     got = vector_dups.vector_duplicates(df).toPandas().sort_values("vec_id")
     recall = np.minimum(got["n_links"], links)[:2000].sum() / links[:2000].sum()
     print(f"recall of boundary links {recall:.4f}, of all {got['n_links'].sum() / links.sum():.6f}")
@@ -420,6 +421,68 @@ def test_mined_rules(spark):
     assert [r["key"] for r in url_rules.match_rules(urls, mined).collect()] == [1]
 
 
+# all
+BIG = 2**53
+STRANGE = [(BIG + 1, "uno dos tres cuatro"), (None, "null id"), (BIG + 3, None), (BIG + 5, "uno dos tres cuatro"), (BIG + 5, "uno dos tres cuatro"), (BIG + 7, ""), (None, None)]
+CLASHES = ["_text", "text_", "judged", "score", "lang_pred", "held_out", "kept", "component_id", "n_shingles", "id", "set", "group", "a", "b", "spans", "length", "piece", "start", "offset", "sequence_id", "_salt", "_dice", "rank", "size", "n_tokens", "ids", "row", "shard", "word", "key", "tokens", "host", "path", "rule", "verdict", "best"]
+
+
+@pytest.fixture(scope="module")
+def strange(spark):
+    rows = [(i, t, None, "s", None, *[1.5] * len(CLASHES)) for i, t in STRANGE]
+    return spark.createDataFrame(rows, ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` double" for c in CLASHES)])).coalesce(1)
+
+
+def operators(spark):
+    path, ranks = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_multi_50k.tiktoken")
+
+    def files(docs):
+        folder = shared.Scratch(spark, "t1s").path("ids")
+        token_files.write_token_files(docs, folder, path, end_id=2)
+        return token_files.read_token_files(spark, folder, lambda ids: (len(ids),), "n_tokens long")
+
+    return {
+        "op1": files, "op2": secret_scan.secret_report, "op2 spans": secret_scan.find_secrets, "op3": near_dups.near_duplicates, "op4": lambda d: token_counts.token_counts(d, path, 5),
+        "op6": lambda d: transducer.round_trip(d, ranks), "op6 ids": lambda d: transducer.decode_documents(transducer.encode_documents(d, ranks), ranks),
+        "op7": lambda d: language_id.predict_languages(d, {"es": " uno dos ", "en": " one two "}), "op9": lambda d: packing.pack(d, path, 2, 64),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op2 spans", "op3", "op4", "op6", "op6 ids", "op7", "op9"])
+def test_ids_columns_and_nothing(spark, strange, nothing, name):
+    """Large ids beside null ones, clashing columns, repeated rows; an empty table."""
+    of = operators(spark)[name]
+    assert sorted([r[0] for r in of(strange).select("doc_id").collect()], key=key) == sorted([i for i, _ in STRANGE], key=key)
+    assert of(nothing).count() == 0
+
+
+def test_search_and_vectors_of_strange_rows(spark, strange):
+    found = text_search.search(strange, strange.selectExpr("doc_id as query_id", "text", "score", "`rank`"), k=3)
+    assert {r["query_id"] for r in found.collect()} == {BIG + 1, BIG + 5}
+    vectors = strange.selectExpr("doc_id as vec_id", "array(1.0d, 2.0d) as embedding", "*")
+    out = vector_dups.vector_duplicates(vectors).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out if r["vec_id"] is not None) == sorted((i, 4, BIG + 1) for i, _ in STRANGE if i is not None)
+    pages = strange.selectExpr("doc_id as page_id", "'http://a.org/' as url", "*")
+    judged = url_rules.judge(pages, strange.selectExpr("*", "1 as quality", "0 as toxic"))
+    assert sorted([r["page_id"] for r in judged.collect()], key=key) == sorted([i for i, _ in STRANGE], key=key)
+
+
+def test_pipeline_of_strange_rows(spark, strange):
+    import corpus_pipeline as p
+
+    first = p.STAGES[0][1](spark, strange, "")
+    assert first.columns == strange.columns and first.count() == len(STRANGE)  # nothing is learned, all stay
+    more = strange.unionByName(strange.filter("text is not null").limit(1).withColumns({"lang": F.lit("es"), "doc_id": F.lit(BIG + 13), "text": F.lit("uno dos tres cuatro cinco")}))
+    assert not language_id.learn(more.filter(~language_id.held_out())) == {}
+    now = p.STAGES[0][1](spark, more, "")
+    assert {r["lang"] for r in now.collect()} == {"es"} and now.count() == 5
+    for _, stage in p.STAGES[1:-1]:
+        now = stage(spark, now, "")
+        assert now.columns == strange.columns
+    assert sorted([r["doc_id"] for r in now.collect()], key=key) == [None, BIG + 1, BIG + 13]
+    assert {r["doc_id"] for r in p.STAGES[-1][1](spark, now, "").collect()} == {None, BIG + 1, BIG + 13}
+
+
 # pipeline
 def test_pipeline(spark, sf_dir, odd, nothing):
     import corpus_pipeline as p
@@ -436,8 +499,8 @@ def test_pipeline(spark, sf_dir, odd, nothing):
     assert kept == {i for i, _, c in plain_links(letters, 5, 80) if i == c}
     out = p.run(spark, sf_dir)
     assert {r[0] for r in out.select("doc_id").distinct().collect()} == kept
-    strange = odd.selectExpr("doc_id", "text", "lang", "cast(null as string) source", "cast(length(text) as long) n_chars", "set", "component")
-    for frame in (nothing, strange):
+    peculiar = odd.selectExpr("doc_id", "text", "lang", "cast(null as string) source", "cast(length(text) as long) n_chars", "set", "component")
+    for frame in (nothing, peculiar):
         now = frame
         for _, stage in p.STAGES:
             now = stage(spark, now, sf_dir)

@@ -19,14 +19,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import map_texts, read
 from .tokens import Memo, held
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -111,27 +110,36 @@ def learn(docs: DataFrame, texts: int = 300, chars: int = 400, letters: int = 60
     return samples
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """crc32 of doc_id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """docs(doc_id, text, held_out) with lang_pred and score; no shuffle."""
+    """doc_id, lang_pred and score of docs(doc_id, text); no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: letters * languages
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = held(Model, tuple(sorted(shared.value.items())))
-        for batch in batches:
-            found = [model.predict(t) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(lang_pred=[x for x, _ in found], score=[s for _, s in found])
+        return lambda texts: tuple(zip(*[model.predict(t) for t in texts], strict=True))
 
-    kept = [f for f in docs.schema if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return docs.mapInPandas(predict, schema)
+    return map_texts(docs, make, "lang_pred string, score double")
+
+
+def language_of(spark: SparkSession, text: Column, samples: dict[str, str]) -> Column:
+    """The prediction for a column of texts, as a struct (lang_pred, score); other columns don't enter Python. It counts as
+    not deterministic, so that Spark works it out once where a filter and a projection use it."""
+    shared = spark.sparkContext.broadcast(samples)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        model = held(Model, tuple(sorted(shared.value.items())))
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+
+    return predict.asNondeterministic()(text)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang", held_out().alias("held_out"))
-    samples = learn(docs.filter(~F.col("held_out")))
-    return predict_languages(docs.select("doc_id", "text", "held_out"), samples)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "lang")
+    judged = predict_languages(docs, learn(docs.filter(~held_out())))
+    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, partitions, read
+from .shared import Scratch, map_texts, partitions, read
 from .tokens import Memo, held
 
 HASHES, ORDERS, DEPTH = 128, 16, 20
@@ -100,19 +100,20 @@ def shingler(words: int) -> Shingler:
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, the set's digest (hi, lo) and its signature (null for an empty set)."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         s = shingler(words)
-        for batch in batches:
+
+        def prints(texts):
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 found = s.set_of(text)
                 digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
                 rows.append((len(found), *digest.tolist(), s.signature(found).tobytes() if len(found) else None, s.buckets(found)))
-            out = pd.DataFrame(rows, columns=["n_shingles", "hi", "lo", "signature", "buckets"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+            return tuple(zip(*rows, strict=True))
+
+        return prints
 
-    return docs.mapInPandas(make, "doc_id long, n_shingles long, hi long, lo long, signature binary, buckets binary")
+    return map_texts(docs, make, "n_shingles long, hi long, lo long, signature binary, buckets binary")
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +33,34 @@ from .shared import Scratch, partitions, read
 from .tokens import library_encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES_COLUMNS = [f.split(" ")[0] for f in PIECES.split(", ")]
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     """Pieces of at most capacity ids; the first of a cut document is the shorter one."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, full = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text) + end
-                first = len(ids) % full or full
-                edges = [0, *range(first, len(ids) + 1, full)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):  # noqa: B905
-                    rows.append((doc_id, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            for i in range(0, batch.num_rows, 2000):
+                some, rows = batch.slice(i, 2000), []
+                for at, text in enumerate(some.column(1).to_pylist()):
+                    ids = encode(text) + end
+                    first = len(ids) % full or full
+                    edges = [0, *range(first, len(ids) + 1, full)]
+                    for k, (a, b) in enumerate(zip(edges, edges[1:])):  # noqa: B905
+                        rows.append((at, k, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])))
+                at, *columns = zip(*rows, strict=True)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], PIECES_COLUMNS)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 def ranked(df: DataFrame, key: str, salt_of: list[Column | str], order: list[str], name: str) -> DataFrame:
     """df with each row's rank (from 0) among the rows of its key."""
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_of), F.lit(4 * partitions(df.sparkSession))).cast("int"))
-    counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    counts = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_n"))  # bounded: 4 * partitions rows a key
     before = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order)) - 1
@@ -156,17 +160,18 @@ def looked_up(df: DataFrame, plan: pd.DataFrame, key: str, name: str) -> DataFra
     starts = {int(k): (int(np.searchsorted(keys, k)), int(np.searchsorted(keys, k, "right"))) for k in np.unique(keys)}
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, {name}_rank long, {', '.join(f'{name}_{c} long' for c in columns)}"
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.zeros(len(batch), np.int64)
-            k, r = batch[key].to_numpy(), batch["rank"].to_numpy()
+            at = np.zeros(batch.num_rows, np.int64)
+            k, r = batch.column(key).to_numpy(), batch.column("rank").to_numpy()
             for one in np.unique(k):
                 a, b = starts[int(one)]
                 rows = k == one
                 at[rows] = a + np.searchsorted(ranks[a:b], r[rows], "right") - 1
-            yield batch.assign(**{f"{name}_rank": ranks[at]}, **{f"{name}_{c}": plan[c].to_numpy()[at] for c in columns})
+            found = [pa.array(v[at]) for v in (ranks, *(plan[c].to_numpy() for c in columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, f"{name}_rank", *(f"{name}_{c}" for c in columns)])
 
-    return df.mapInPandas(look, schema)
+    return df.mapInArrow(look, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, small: int = 64, groups: int = 512) -> DataFrame:
@@ -211,8 +216,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, small: int
     return large.unionByName(fresh.select(*columns)).unionByName(placed.select(*columns))
 
 
-PIECES_COLUMNS = [f.split(" ")[0] for f in PIECES.split(", ")]
-
-
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)

@@ -21,14 +21,14 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read
+from .shared import map_texts, read
 from .tokens import held
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -118,13 +118,11 @@ def scanner() -> Scanner:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and the array of spans(kind, start, end) of each document; no shuffle."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         s = scanner()
-        for batch in batches:
-            spans = [[{"kind": KINDS[i].name, "start": a, "end": b} for a, i, b in s.spans(t)] for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": spans})
+        return lambda texts: ([[{"kind": KINDS[i].name, "start": a, "end": b} for a, i, b in s.spans(t)] for t in texts],)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(find, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
+    return map_texts(docs, make, "spans array<struct<kind: string, start: long, end: long>>")
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
@@ -155,20 +153,21 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
 def secret_report(docs: DataFrame) -> DataFrame:
     """Counts, the digest of the base spans and all spans of each document."""
 
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         s = scanner()
-        for batch in batches:
+
+        def report(texts):
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 spans = s.spans(text)
                 base = [x for x in spans if KINDS[x[1]].base]
                 counts = [sum(x[1] == i for x in base) for i in range(3)]
                 rows.append((*counts, hashlib.sha256(s.listed(base).encode()).hexdigest(), s.listed(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+            return tuple(zip(*rows, strict=True))
+
+        return report
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(report, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_texts(docs, make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

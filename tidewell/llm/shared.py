@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
         folder = jsc.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -46,3 +54,27 @@ def partitions(spark: SparkSession) -> int:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], tuple[list, ...]]], schema: str, rows: int = 2000) -> DataFrame:
+    """doc_id (as a long) beside the columns of `schema` that make()(texts) gives for the texts of at most `rows` rows.
+    Ids pass by as Arrow columns, so nulls among them change nothing; no other column goes to Python; no shuffle."""
+    arrow = to_arrow_schema(StructType.fromDDL(f"doc_id long, {schema}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                some = batch.slice(i, rows)
+                made = of(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(v, f.type) for v, f in zip(made, list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {schema}")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -14,12 +14,10 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read
+from .shared import map_texts, read
 from .tokens import BYTE_CHARS, CHUNK, ODD, Memo, held, vocabulary
 
 
@@ -95,19 +93,16 @@ def counter(path: str) -> HeapCounter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than limit tokens) of each document; no shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         count_tokens = counter(tokenizer)
-        for batch in batches:
-            texts = batch["text"]
+
+        def count(texts):
             n_tokens = [count_tokens(t) for t in texts]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "n_bytes": [len(t.encode()) if t else 0 for t in texts],
-                "n_tokens": n_tokens,
-                "over_limit": [n > limit for n in n_tokens],
-            })
-
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            return [len(t.encode()) if t else 0 for t in texts], n_tokens, [n > limit for n in n_tokens]
+
+        return count
+
+    return map_texts(docs, make, "n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

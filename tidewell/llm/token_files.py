@@ -12,23 +12,25 @@ Layout of a file, all integers little-endian:
 
 A reader fetches the tail of the file, then only the byte ranges of the frames it wants.
 
-Documents are range-partitioned and sorted by (doc_id, text); file k holds lower ids than file k+1. A
-task writes under an attempt's own name and renames at its end, so a retried task replaces its file by
+Documents are range-partitioned and sorted by (doc_id, a hash of the text, text); file k holds no higher ids
+than file k+1. A task writes under an attempt's own name and renames at its end, so a retried task replaces its file by
 an equal one. Only one row a file (its counts) leaves the writing stage.
 
 Defined results: null text counts as empty (only the end id); a null doc_id sorts first; repeated doc_ids
-are all written, ordered by text; an empty table gives no files; other columns are ignored.
+are all written, ordered by that hash and the text; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,7 +44,9 @@ MANIFEST = "part int, name string, n_docs long, n_tokens long"
 
 
 def open_folder(uri: str):
-    """(file system, path) of a folder, for tasks."""
+    """(file system, path) of a folder, for tasks. Paths without a scheme and the schemes that pyarrow knows (file, hdfs, s3, gs)
+    work; s3a and s3n are read as s3. Other stores need a mount."""
+    uri = re.sub("^s3[an]:", "s3:", uri)
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
@@ -122,32 +126,39 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     spark = docs.sparkSession
     width = 2 if end_id < 65536 and _vocabulary_size(tokenizer) <= 65536 else 4
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, context = library_encoder(tokenizer), TaskContext.get()
         part, end = context.partitionId(), np.array([end_id], "<u4")
         name, n_docs, writer, out = f"part-{part:06d}.tok", 0, None, None
         files, path = open_folder(folder)
         tmp = f"{path}/_{name}.{context.taskAttemptId()}"
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in _rows(batch):
                 if writer is None:
                     files.create_dir(path, recursive=True)
                     out = files.open_output_stream(tmp)
                     writer = Writer(out, width, end_id, level)
                 ids = np.frombuffer(encode(text), "<u4")
-                writer.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate([ids, end]))
+                writer.add(doc_id, np.concatenate([ids, end]))
                 n_docs += 1
         if writer is not None:
             writer.close()
             out.close()
             files.move(tmp, f"{path}/{name}")
-            yield pd.DataFrame({"part": [part], "name": [name], "n_docs": [n_docs], "n_tokens": [writer.n_tokens]})
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n_docs]), pa.array([writer.n_tokens])], ["part", "name", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
+    order = ["doc_id", "_dice", "text"]  # a doc_id of very many rows is split
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("_dice")).repartitionByRange("doc_id", "_dice").sortWithinPartitions(*order)
+    ordered.drop("_dice").mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/_manifest")
     return manifest(spark, folder)
 
 
+def _rows(batch: pa.RecordBatch, step: int = 500) -> Iterator[tuple[int | None, str | None]]:
+    for i in range(0, batch.num_rows, step):
+        some = batch.slice(i, step)
+        yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+
+
 def _vocabulary_size(tokenizer: str) -> int:
     return library_encoder(tokenizer).tokenizer.get_vocab_size()
 

@@ -10,6 +10,7 @@ Chunks repeat, so each worker keeps a bounded memo from chunk to result.
 from __future__ import annotations
 
 import array
+import gc
 import os
 import re
 
@@ -43,7 +44,10 @@ def held(kind, *key):
     first, so a worker has the memos of one model at a time."""
     if (kind, key) not in _HELD:
         _HELD.clear()
+        gc.unfreeze()
         _HELD[kind, key] = kind(*key)
+        gc.collect()
+        gc.freeze()  # a model's many small objects stay: collections needn't look at them again
     return _HELD[kind, key]
 
 

@@ -22,10 +22,10 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read
+from .shared import map_texts, read
 from .tokens import CHUNK, ODD, Memo, held, vocabulary
 
 NONE: tuple[int, ...] = ()
@@ -221,42 +221,42 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids (binary, little-endian uint32) of each document; no shuffle."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(ranks)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [c.encode(t) for t in batch["text"]]})
+    def make():
+        encode = codec(ranks).encode
+        return lambda texts: ([encode(t) for t in texts],)
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInPandas(encode, "doc_id long, ids binary")
+    return map_texts(docs, make, "ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, text of rows of encode_documents()."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": ["".join(c.decode(i)) for i in batch["ids"]]})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(c.decode(i or b"")) for i in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(decode, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
     """Digests of the ids and of the decoded text of each document, in one pass."""
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = codec(ranks)
-        for batch in batches:
+
+        def digest(texts):
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 ids, decoded = c.encode(text), hashlib.sha256()
                 for part in c.decode(ids):
                     decoded.update(part.encode())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), decoded.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
+            return tuple(zip(*rows, strict=True))
+
+        return digest
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
