@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import dates, text
 from tidewell.operators import analytics, coverage, rules, store, translate, validate
 from tidewell.plans import report
-from tidewell.queries import ORACLE_SQL, QUERIES, analysed
+from tidewell.queries import ORACLE_SQL, QUERIES, analysed_posts
 from tidewell.sources import payloads
 from tidewell.streaming import upserts
 
@@ -161,7 +161,7 @@ def test_streams(spark, tmp_path):
 
 
 def test_report(spark, sf_dir, tmp_path):
-    a = analysed(spark, sf_dir)
+    a = analysed_posts(spark, sf_dir)
     assert report.narrative(a).startswith("- ") and report.narrative(a.limit(0)) == "- no posts in this period"
     report.write_csv(a.groupBy("category").count(), f"{tmp_path}/csv")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() > 0

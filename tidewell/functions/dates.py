@@ -48,3 +48,22 @@ def relative_date(value: Column, today: Column) -> Column:
 
 def in_period(date: Column, first: Column, last: Column) -> Column:
     return F.coalesce(date.between(first, last), F.lit(False))
+
+
+#: Variants of ISO 8601 and the common order of day and month, tried in this order.
+FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyy.MM.dd", "yyyyMMdd", "MM/dd/yyyy")
+
+
+def date_of(value: Column, formats: tuple[str, ...] = FORMATS) -> Column:
+    """The date by the first format that fits the whole value; null if none does."""
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(value), F.lit(f))) for f in formats])
+
+
+def today(now: Column | None = None) -> Column:
+    """Today at UTC+8; `now` is a timestamp (UTC), the current one by default."""
+    return F.to_date(F.from_utc_timestamp(F.current_timestamp() if now is None else now, OFFSET))
+
+
+def scan_start(first: Column, last: Column, least: int = 14, most: int = 30) -> Column:
+    """Where a run starts to look: before the period if that is short, never more than `most` days back."""
+    return F.greatest(F.least(first, F.date_sub(last, least)), F.date_sub(last, most))

@@ -6,7 +6,10 @@ Java's \\s, \\d and \\W are ASCII by default; (?U) makes them Unicode, so that o
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+import urllib.parse
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,16 +60,29 @@ def canonical_url(url: Column, keep_query: str | None = None) -> Column:
     return F.when(F.coalesce(bare, F.lit("")) == "", "").when(bare.startswith("//"), F.concat(F.lit("https:"), bare)).when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))
 
 
+@F.pandas_udf(StringType())
+def _joined_url(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
+    def join(base, href):
+        try:
+            return urllib.parse.urljoin(base or "", href or "")
+        except ValueError:
+            return href
+
+    return pd.Series([join(b, h) for b, h in zip(bases, hrefs, strict=True)])
+
+
 def absolute_url(base: Column, href: Column) -> Column:
-    """href as seen from base: with scheme, //host, /path or a name beside the base's last segment."""
-    root = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
-    beside = F.regexp_extract(base, r"^([^?#]*/)", 1)
-    return (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.lit("https:"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(beside, href))
-    )
+    """href as seen from base; what has a host of its own stays in the JVM."""
+    return F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), href).otherwise(_joined_url(base, href))
+
+
+def entry_url(raw: Column, root: str) -> Column:
+    """An entry of the channel at root: its address with at most the parameter subc; empty for posts and other places."""
+    url = absolute_url(F.lit(root), clean(raw))
+    path = F.regexp_replace(F.regexp_replace(url, r"(?s)[?#].*$", ""), "/+$", "")
+    part = F.regexp_extract(url, r"^[^?#]*\?(?:[^#]*&)?subc=([^&#]+)", 1)
+    wrong = (clean(raw) == "") | clean(raw).contains("/post/") | (F.regexp_replace(path, "^[a-z]+:", "") != re.sub("^[a-z]+:", "", root.rstrip("/")))
+    return F.when(wrong, "").when(part != "", F.concat(F.lit(f"{root}?subc="), part)).otherwise(F.lit(root))
 
 
 def post_key(url: Column, source: Column, date: Column, title: Column) -> Column:
@@ -87,15 +103,85 @@ def is_low_signal(text: Column, exact: list[str] = ()) -> Column:
     return clean(text).isin(*exact) | (F.length(rest) < 2) if exact else F.length(rest) < 2
 
 
-def mentions(text: Column, markers: list[str]) -> Column:
-    """Whether a literal marker occurs, whatever its case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def has_any(text: Column, markers: list[str]) -> Column:
+    """Whether a literal marker occurs, in this case."""
     out = F.lit(False)
     for m in markers:
-        out = out | low.contains(m.lower())
+        out = out | F.coalesce(text, F.lit("")).contains(m)
     return out
 
 
+def is_relevant(text: Column, aliases: list[str]) -> Column:
+    """Whether an alias occurs, whatever its case; full-width colons count as plain ones."""
+    plain = F.replace(F.lower(clean(text)), F.lit("："), F.lit(":"))
+    return has_any(plain, [a.lower().replace("：", ":") for a in aliases])
+
+
+def is_roundup(title: Column, markers: list[str], aliases: list[str]) -> Column:
+    """A list of many subjects: a marker, and at least three parts or another beginning than an alias."""
+    text = clean(title)
+    parts = F.size(F.filter(F.split(text, "[,，、|｜/；;]"), lambda p: F.trim(p) != ""))
+    begins = F.lit(False)
+    for a in aliases:
+        begins = begins | F.lower(text).startswith(a.lower())
+    return has_any(text, markers) & ((parts >= 3) | ~begins)
+
+
+def is_campaign(text: Column, section: Column, author: Column, sections: list[str], authors: list[str], markers: list[str]) -> Column:
+    """An event section, an event account, or a marker in the text or the author's name."""
+    both = F.lower(clean(F.concat_ws(" ", text, author)))
+    return F.coalesce(section.isin(*sections), F.lit(False)) | has_any(author, authors) | has_any(both, markers)
+
+
+def without_placeholder(text: Column, placeholders: list[str]) -> Column:
+    """Empty where the text only says that there's none."""
+    return F.when(text.isin(*placeholders), "").otherwise(F.coalesce(text, F.lit("")))
+
+
+class _Text(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts = []
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+@F.pandas_udf(StringType())
+def _tagless(texts: pd.Series) -> pd.Series:
+    def one(text):
+        p = _Text()
+        p.feed(text)
+        p.close()
+        return " ".join(p.parts)
+
+    return texts.map(one, na_action="ignore")
+
+
+def strip_html(text: Column) -> Column:
+    """Tags to blanks, then cleaned; texts without < or & stay in the JVM."""
+    return collapse(F.when(text.rlike("[<&]"), unescape(_tagless(text))).otherwise(text))
+
+
+def without_tail(text: Column, pattern: str) -> Column:
+    """Without what begins with pattern, to the end."""
+    return F.trim(F.regexp_replace(text, rf"(?s)(?U:\s)*(?:{pattern}).*$", ""))
+
+
+def post_label(title_ko: Column, title: Column, translated: Column, original: Column, size: int = 68) -> Column:
+    return excerpt(first_filled(title_ko, title, translated, original), size)
+
+
+def title_key(title: Column) -> Column:
+    """Letters, digits and _ alone, folded."""
+    return F.lower(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)\W+", ""))
+
+
+def counted(label: Column, n: Column) -> Column:
+    """A label with its number, as in lists of options."""
+    return F.concat(label, F.lit(" ("), F.format_number(n, 0), F.lit(")"))
+
+
 def needs_translation(text: Column) -> Column:
     return F.coalesce(text.rlike(HAN), F.lit(False))
 

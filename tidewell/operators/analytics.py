@@ -37,7 +37,7 @@ def keyword_stats(analysed: DataFrame, category_of: dict[str, str]) -> DataFrame
 
 
 def daily(analysed: DataFrame) -> DataFrame:
-    return analysed.filter("published_at is not null").groupBy("published_at").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("content_type") == NATURAL).alias("natural"))
+    return analysed.filter("date is not null").groupBy("date").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("content_type") == NATURAL).alias("natural"))
 
 
 def by_source(analysed: DataFrame) -> DataFrame:
@@ -46,9 +46,10 @@ def by_source(analysed: DataFrame) -> DataFrame:
 
 
 def terms(posts: DataFrame, letters: str, sizes: tuple[int, ...] = (2, 3), least: int = 2, n: int = 25, stop: list[str] = ()) -> DataFrame:
-    """term, posts, example of the n-grams within runs of `letters` that most posts hold. A shorter term hides behind a
+    """term, posts, example of the n-grams within runs of `letters` in title and text that most posts hold, without those of
+    `stop` (stop words and the aliases that rules have already). A shorter term hides behind a
     longer one that contains it and is as frequent: longer ones are exploded into their parts, an equi-join."""
-    runs = F.regexp_extract_all("original_text", F.lit(f"({letters}+)"))
+    runs = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "title", "original_text"), F.lit(f"({letters}+)")))
 
     def grams(run, size):
         return F.when(F.length(run) >= size, F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))

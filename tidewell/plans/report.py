@@ -10,7 +10,7 @@ from ..operators.analytics import top_per_group
 
 def narrative_inputs(analysed: DataFrame) -> DataFrame:
     """Posts and share (half-even percent) by topic, with two representative titles, most posts first."""
-    natural = analysed.filter("eligible")
+    natural = analysed.filter("trend_eligible")
     counts = natural.groupBy("category").agg(F.count(F.lit(1)).alias("posts"))
     best = top_per_group(natural, "category", [F.desc(F.col("engagement") * 3 + F.col("views")), "seq"], 2)
     titles = best.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]), " / ").alias("titles"))

@@ -15,8 +15,10 @@ from .sources.synthetic import posts
 CATEGORIES = [("alpha", ["the", "das", "ción"]), ("beta", ["avec", "with", "mit"]), ("gamma", ["dans", "from", "ñado"]), ("delta", ["pour", "para", "für"])]
 KEYWORDS = [("with", "beta", ["with", "mit"]), ("for", "delta", ["pour", "para", "für"]), ("in", "gamma", ["dans", "from"]), ("cion", "alpha", ["ciónes", "ción"]), ("article", "alpha", ["the", "das"])]
 KEYWORD_RULES, CATEGORY_OF = [(k, a) for k, _, a in KEYWORDS], {k: c for k, c, _ in KEYWORDS}
-EVENTS, GUIDES, VIDEO_SOURCE = ["über"], ["that", "sobre"], "src1"
+EVENTS, GUIDES, VIDEO_SOURCE, OFFICIAL_SOURCE = ["über"], ["that", "sobre"], "src1", "src4"
 FIRST, LAST = "2024-01-05", "2024-01-25"
+STOPWORDS = ["and", "der", "les"]
+_STOP = ", ".join(f"'{t}'" for t in STOPWORDS + rules.registered(CATEGORIES))
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -59,24 +61,16 @@ _N = len(CATEGORIES)
 ANALYSED = f"""{POSTS}, folded AS (SELECT *, {_sql_folded("title || ' ' || original_text")} AS t, {_sql_folded("title")} AS t1, {_sql_folded("original_text")} AS t2 FROM posts),
 scored AS (SELECT *, {", ".join(f"CAST({_sql_count('t', a)} AS INT) AS s{k}" for k, (_, a) in enumerate(CATEGORIES))},
   {", ".join(f"greatest(CAST({_sql_count('t1', a)} AS INT), CAST({_sql_count('t2', a)} AS INT)) AS w{k}" for k, (_, a) in enumerate(KEYWORD_RULES))},
-  CASE WHEN is_official THEN '{rules.OFFICIAL}' WHEN ({_sql_count("t", EVENTS)}) > 0 THEN '{rules.EVENT}' WHEN ({_sql_count("t", GUIDES)}) > 0 OR source = '{VIDEO_SOURCE}' THEN '{rules.GUIDE}' ELSE '{rules.NATURAL}' END AS content_type FROM folded),
-listed AS (SELECT *, list_transform(list_sort(list_filter([{", ".join(f"{{'s': -s{k}, 'o': {k}, 'c': '{c}'}}" for k, (c, _) in enumerate(CATEGORIES))}], lambda x: x.s < 0)), lambda x: x.c) AS cats FROM scored),
-analysed AS (SELECT *, coalesce(cats[1], '{rules.OTHER}') AS category, content_type = '{rules.NATURAL}' AS eligible, coalesce(comments, 0) AS engagement, coalesce(views, 0) AS views0 FROM listed),
+  CASE WHEN is_official OR source = '{OFFICIAL_SOURCE}' THEN '{rules.OFFICIAL}' WHEN ({_sql_count("t", EVENTS)}) > 0 THEN '{rules.EVENT}' WHEN ({_sql_count("t", GUIDES)}) > 0 OR source = '{VIDEO_SOURCE}' THEN '{rules.GUIDE}' ELSE '{rules.NATURAL}' END AS content_type FROM folded),
+listed AS (SELECT *, list_transform(list_sort(list_filter([{", ".join(f"{{'s': -s{k}, 'o': {k}, 'c': '{c}'}}" for k, (c, _) in enumerate(CATEGORIES))}], lambda x: x.s < 0)), lambda x: x.c) AS found FROM scored),
+catted AS (SELECT *, CASE WHEN len(found) = 0 THEN ['{rules.OTHER}'] ELSE found END AS cats FROM listed),
+analysed AS (SELECT *, cats[1] AS category, content_type = '{rules.NATURAL}' AS eligible, coalesce(comments, 0) AS engagement, coalesce(views, 0) AS views0 FROM catted),
 mentioned AS ({" UNION ALL ".join(f"SELECT seq, title, category, content_type, engagement, '{k}' AS keyword, '{CATEGORY_OF[k]}' AS own, w{i} AS n FROM analysed WHERE w{i} > 0" for i, (k, _) in enumerate(KEYWORD_RULES))})"""
 W = f"WITH {ANALYSED} "
 
 
-def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
-    p = p.withColumns({"t": text.fold(F.concat_ws(" ", "title", "original_text")), "t1": text.fold("title"), "t2": text.fold("original_text")})
-    p = p.withColumn("cats", rules.categories(rules.scores(F.col("t"), CATEGORIES), CATEGORIES))
-    p = p.withColumns({
-        "category": F.coalesce(F.get("cats", F.lit(0)), F.lit(rules.OTHER)),
-        "content_type": rules.content_type(F.col("source"), F.col("t"), F.col("is_official"), EVENTS, GUIDES, VIDEO_SOURCE),
-        "keyword_counts": rules.keyword_counts([F.col("t1"), F.col("t2")], KEYWORD_RULES),
-        "engagement": F.coalesce("comments", F.lit(0)), "views": F.coalesce("views", F.lit(0)),
-    })
-    return p.withColumns({"eligible": F.col("content_type") == rules.NATURAL, "role": rules.role(F.col("content_type"))}).drop("t", "t1", "t2")
+def analysed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.analysed(posts(spark, sf_dir, spread=True), CATEGORIES, KEYWORD_RULES, EVENTS, GUIDES, OFFICIAL_SOURCE, VIDEO_SOURCE)
 
 
 # projections and predicates
@@ -202,17 +196,17 @@ def upsert_counts(spark, sf_dir):
 # classification
 @query(W + "SELECT seq, category, array_to_string(cats, ', ') AS all_categories FROM analysed")
 def category_main(spark, sf_dir):
-    return analysed(spark, sf_dir).select("seq", "category", F.array_join("cats", ", ").alias("all_categories"))
+    return analysed_posts(spark, sf_dir).select("seq", "category", "all_categories")
 
 
 @query(W + f"SELECT seq, content_type, eligible, CASE content_type {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in rules.ROLES.items())} END AS role FROM analysed")
 def content_type(spark, sf_dir):
-    return analysed(spark, sf_dir).select("seq", "content_type", "eligible", "role")
+    return analysed_posts(spark, sf_dir).select("seq", "content_type", F.col("trend_eligible").alias("eligible"), F.col("analysis_role").alias("role"))
 
 
 @query(W + "SELECT seq, keyword, n FROM mentioned")
 def keyword_map(spark, sf_dir):
-    return analysed(spark, sf_dir).select("seq", F.explode("keyword_counts").alias("keyword", "n"))
+    return analysed_posts(spark, sf_dir).select("seq", F.explode("keyword_counts").alias("keyword", "n"))
 
 
 _KINDS = ", ".join(f"count(*) FILTER (content_type = '{k}') AS {n}" for n, k in (("natural", rules.NATURAL), ("guide", rules.GUIDE), ("event", rules.EVENT), ("official", rules.OFFICIAL)))
@@ -220,60 +214,62 @@ _KINDS = ", ".join(f"count(*) FILTER (content_type = '{k}') AS {n}" for n, k in
 
 @query(W + f", dim AS (SELECT * FROM (VALUES {', '.join(f'''({k}, '{c}')''' for k, c in enumerate([*[c for c, _ in CATEGORIES], rules.OTHER]))}) v(category_order, category)), counts AS (SELECT category, {_KINDS}, count(*) AS total FROM analysed GROUP BY category) SELECT CAST(category_order AS INT) AS category_order, category, coalesce(\"natural\", 0) AS \"natural\", coalesce(guide, 0) AS guide, coalesce(event, 0) AS event, coalesce(official, 0) AS official, coalesce(total, 0) AS total FROM dim LEFT JOIN counts USING (category)".replace(" AS natural", ' AS "natural"'))
 def category_crosstab(spark, sf_dir):
-    return analytics.crosstab(analysed(spark, sf_dir), [c for c, _ in CATEGORIES])
+    return analytics.crosstab(analysed_posts(spark, sf_dir), [c for c, _ in CATEGORIES])
 
 
 @query(W + "SELECT keyword, any_value(own) AS category, count(*) AS posts, CAST(sum(n) AS BIGINT) AS mentions, CAST(row_number() OVER (ORDER BY count(*) DESC, sum(n) DESC, keyword) AS INT) AS rank FROM mentioned GROUP BY keyword")
 def keyword_stats(spark, sf_dir):
-    return analytics.keyword_stats(analysed(spark, sf_dir), CATEGORY_OF)
+    return analytics.keyword_stats(analysed_posts(spark, sf_dir), CATEGORY_OF)
 
 
 @query(W + "SELECT eligible, count(*) AS n, CAST(sum(engagement) AS BIGINT) AS engagement FROM analysed GROUP BY eligible")
 def split_evidence(spark, sf_dir):
-    return analysed(spark, sf_dir).groupBy("eligible").agg(F.count(F.lit(1)).alias("n"), F.sum("engagement").alias("engagement"))
+    return analysed_posts(spark, sf_dir).groupBy(F.col("trend_eligible").alias("eligible")).agg(F.count(F.lit(1)).alias("n"), F.sum("engagement").alias("engagement"))
 
 
 @query(W + f"SELECT a.seq FROM analysed a JOIN mentioned m USING (seq) WHERE m.keyword = 'with' AND a.category = 'beta' AND a.content_type = '{rules.NATURAL}'")
 def display_filter(spark, sf_dir):
-    return analysed(spark, sf_dir).filter((F.col("category") == "beta") & (F.col("content_type") == rules.NATURAL) & F.map_contains_key("keyword_counts", "with")).select("seq")
+    return analysed_posts(spark, sf_dir).filter((F.col("category") == "beta") & (F.col("content_type") == rules.NATURAL) & F.map_contains_key("keyword_counts", "with")).select("seq")
 
 
-@query(W + f"SELECT published_at, count(*) AS total, count(*) FILTER (content_type = '{rules.NATURAL}') AS \"natural\" FROM analysed WHERE published_at IS NOT NULL GROUP BY published_at")
+@query(W + f"SELECT published_at AS date, count(*) AS total, count(*) FILTER (content_type = '{rules.NATURAL}') AS \"natural\" FROM analysed WHERE published_at IS NOT NULL GROUP BY published_at")
 def daily_counts(spark, sf_dir):
-    return analytics.daily(analysed(spark, sf_dir))
+    return analytics.daily(analysed_posts(spark, sf_dir))
 
 
 @query(W + f"SELECT source, count(*) AS total, {_KINDS} FROM analysed GROUP BY source".replace(" AS natural", ' AS "natural"'))
 def source_counts(spark, sf_dir):
-    return analytics.by_source(analysed(spark, sf_dir))
+    return analytics.by_source(analysed_posts(spark, sf_dir))
 
 
 @query(W + "SELECT category, content_type, source, count(*) AS n FROM analysed GROUP BY ALL")
 def value_counts(spark, sf_dir):
-    return analysed(spark, sf_dir).groupBy("category", "content_type", "source").agg(F.count(F.lit(1)).alias("n"))
+    return analysed_posts(spark, sf_dir).groupBy("category", "content_type", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(W + "SELECT seq, views0 AS views, title FROM analysed WHERE views0 > 0 ORDER BY views0 DESC, seq LIMIT 10")
 def top_by_metric(spark, sf_dir):
-    return analytics.top(analysed(spark, sf_dir), "views", 10).select("seq", "views", "title")
+    return analytics.top(analysed_posts(spark, sf_dir), "views", 10).select("seq", "views", "title")
 
 
 @query(W + ", r AS (SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY engagement DESC, views0 DESC, seq) AS INT) AS rank, seq FROM analysed) SELECT * FROM r WHERE rank <= 12")
 def top_per_category(spark, sf_dir):
-    return analytics.top_per_group(analysed(spark, sf_dir), "category", [F.desc("engagement"), F.desc("views"), "seq"], 12).select("category", "rank", "seq")
+    return analytics.top_per_group(analysed_posts(spark, sf_dir), "category", [F.desc("engagement"), F.desc("views"), "seq"], 12).select("category", "rank", "seq")
 
 
 @query(W + ", r AS (SELECT category, title, row_number() OVER (PARTITION BY category ORDER BY engagement * 3 + views0 DESC, seq) AS rank FROM analysed WHERE eligible), c AS (SELECT category, count(*) AS posts FROM analysed WHERE eligible GROUP BY category) SELECT category, posts, CAST(round_even(posts * 100 / (SELECT sum(posts) FROM c), 0) AS INT) AS percent, (SELECT string_agg(title, ' / ' ORDER BY rank) FROM r WHERE r.category = c.category AND rank <= 2) AS titles FROM c")
 def narrative_inputs(spark, sf_dir):
-    return report.narrative_inputs(analysed(spark, sf_dir))
+    return report.narrative_inputs(analysed_posts(spark, sf_dir))
 
 
-@query(f"""WITH {POSTS}, runs AS (SELECT seq, title, unnest(list_distinct(regexp_extract_all(original_text, '\\pL+'))) AS r FROM posts),
-each AS (SELECT DISTINCT seq, left(title, 60) AS title, r[i:i + s - 1] AS term FROM (SELECT seq, title, r, s, unnest(range(1, length(r) - s + 2)) AS i FROM runs, (VALUES (2), (3)) v(s) WHERE length(r) >= s)),
+@query(W + f""", runs AS (SELECT seq, title, unnest(list_distinct(regexp_extract_all(concat_ws(' ', title, original_text), '\\pL+'))) AS r FROM analysed WHERE category = '{rules.OTHER}'),
+each AS (SELECT DISTINCT seq, left(title, 60) AS title, r[i:i + s - 1] AS term FROM (SELECT seq, title, r, s, unnest(range(1, length(r) - s + 2)) AS i FROM runs, (VALUES (2), (3)) v(s) WHERE length(r) >= s) WHERE term NOT IN ({_STOP})),
 counts AS (SELECT term, count(*) AS posts, arg_min(title, seq) AS example FROM each GROUP BY term HAVING count(*) >= 2)
 SELECT term, posts, example FROM counts c WHERE length(term) = 3 OR NOT EXISTS (SELECT 1 FROM counts l WHERE length(l.term) = 3 AND l.posts >= c.posts AND (l.term[1:2] = c.term OR l.term[2:3] = c.term)) ORDER BY posts DESC, term LIMIT 25""")
 def ngram_terms(spark, sf_dir):
-    return analytics.terms(posts(spark, sf_dir), r"\p{L}")
+    """Over the posts of the fallback category, without stop words and registered aliases."""
+    rest = analysed_posts(spark, sf_dir).filter(F.col("category") == rules.OTHER)
+    return analytics.terms(rest, r"\p{L}", stop=STOPWORDS + rules.registered(CATEGORIES))
 
 
 TOPICS = W + f""", own AS (SELECT * FROM mentioned WHERE own = category AND content_type = '{rules.NATURAL}'), g AS (SELECT keyword AS topic, category, count(*) AS posts, list(seq ORDER BY seq) AS members, arg_max(title, {{'e': engagement, 's': -seq}}) AS example FROM own GROUP BY ALL HAVING count(*) >= 2),
@@ -282,7 +278,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY members ORDER BY length(topic) D
 
 @query(TOPICS)
 def repeated_topics(spark, sf_dir):
-    return analytics.repeated_topics(analysed(spark, sf_dir), CATEGORY_OF)
+    return analytics.repeated_topics(analysed_posts(spark, sf_dir), CATEGORY_OF)
 
 
 # translation; the stand-in translator writes E for e
