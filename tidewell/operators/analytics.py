@@ -67,15 +67,20 @@ def terms(posts: DataFrame, letters: str, sizes: tuple[int, ...] = (2, 3), least
     return shown.select("term", "posts", "example").orderBy(F.desc("posts"), "term").limit(n)
 
 
+def _signature():
+    """What tells posts of a topic apart: the URL, else source and title."""
+    return F.coalesce(F.nullif("url", F.lit("")), F.concat_ws("|", "source", "title"))
+
+
 def repeated_topics(analysed: DataFrame, category_of: dict[str, str], least: int = 2) -> DataFrame:
     """topic, category, posts: keywords with at least so many natural posts whose main category is the keyword's own. Of
     keywords with the very same posts the longest stays; sets are compared by count and two sums of hashes, so no
     topic's posts are gathered."""
-    each = analysed.filter((F.col("content_type") == NATURAL) & (F.col("category") != OTHER)).select("seq", "category", "engagement", "title", F.explode(F.map_keys("keyword_counts")).alias("topic"))
+    each = analysed.filter((F.col("content_type") == NATURAL) & (F.col("category") != OTHER)).select("seq", "category", "engagement", "title", _signature().alias("sign"), F.explode("keyword_labels").alias("topic"))
     linked = F.create_map(*[F.lit(x) for pair in category_of.items() for x in pair])
     own = each.filter(linked[F.col("topic")] == F.col("category"))
-    digest = F.sum(F.pmod(F.xxhash64("seq"), F.lit(1 << 40)))
-    second = F.sum(F.pmod(F.xxhash64("seq", F.lit(1)), F.lit(1 << 40)))
+    digest = F.sum(F.pmod(F.xxhash64("sign"), F.lit(1 << 40)))
+    second = F.sum(F.pmod(F.xxhash64("sign", F.lit(1)), F.lit(1 << 40)))
     groups = own.groupBy("topic", "category").agg(F.count(F.lit(1)).alias("posts"), digest.alias("h1"), second.alias("h2"), F.max_by("title", F.struct("engagement", -F.col("seq"))).alias("example")).filter(F.col("posts") >= least)
     first = F.row_number().over(Window.partitionBy("posts", "h1", "h2").orderBy(F.desc(F.length("topic")), "topic"))
     return groups.withColumn("k", first).filter("k = 1").select("topic", "category", "posts", "example")

@@ -65,7 +65,7 @@ scored AS (SELECT *, {", ".join(f"CAST({_sql_count('t', a)} AS INT) AS s{k}" for
 listed AS (SELECT *, list_transform(list_sort(list_filter([{", ".join(f"{{'s': -s{k}, 'o': {k}, 'c': '{c}'}}" for k, (c, _) in enumerate(CATEGORIES))}], lambda x: x.s < 0)), lambda x: x.c) AS found FROM scored),
 catted AS (SELECT *, CASE WHEN len(found) = 0 THEN ['{rules.OTHER}'] ELSE found END AS cats FROM listed),
 analysed AS (SELECT *, cats[1] AS category, content_type = '{rules.NATURAL}' AS eligible, coalesce(comments, 0) AS engagement, coalesce(views, 0) AS views0 FROM catted),
-mentioned AS ({" UNION ALL ".join(f"SELECT seq, title, category, content_type, engagement, '{k}' AS keyword, '{CATEGORY_OF[k]}' AS own, w{i} AS n FROM analysed WHERE w{i} > 0" for i, (k, _) in enumerate(KEYWORD_RULES))})"""
+mentioned AS ({" UNION ALL ".join(f"SELECT seq, title, url, source, original_text, published_at, views0, category, content_type, engagement, '{k}' AS keyword, '{CATEGORY_OF[k]}' AS own, w{i} AS n FROM analysed WHERE w{i} > 0" for i, (k, _) in enumerate(KEYWORD_RULES))})"""
 W = f"WITH {ANALYSED} "
 
 
@@ -74,15 +74,15 @@ def analysed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # projections and predicates
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned FROM documents WHERE NOT contains(text, '&') UNION ALL SELECT doc_id, NULL FROM documents WHERE contains(text, '&')")
-def clean_text(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.when(~F.contains("text", F.lit("&")), text.clean(F.col("text"))).alias("cleaned"))
+#: Entities in SQL: DuckDB has no such function, so the named ones of XML and blanks; others are held against html.unescape in tests.
+def _sql_clean(field: str) -> str:
+    for name, to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        field = f"replace({field}, '{name}', '{to}')"
+    return f"trim(regexp_replace({field}, '\\s+', ' ', 'g'))"
 
 
-@query()
-def clean_text_whole(spark, sf_dir):
-    """As clean_text, of every document: DuckDB resolves no entities, so there's no SQL."""
+@query(f"SELECT doc_id, {_sql_clean('text')} AS cleaned FROM documents")
+def clean_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
@@ -91,9 +91,14 @@ def excerpt_title(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.excerpt(F.col("text")).alias("title"))
 
 
-@query("SELECT page_id, regexp_replace(trim(url), '(?s)[?#].*$', '') AS url FROM pages WHERE contains(url, '://')")
+@query("""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^[a-z]+:', '') WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 3 THEN url || '#f' ELSE NULLIF(url, url) END AS u FROM pages),
+b AS (SELECT page_id, coalesce(regexp_replace(trim(u), '(?s)[?#].*$', ''), '') AS b FROM u) SELECT page_id, CASE WHEN b = '' THEN '' WHEN starts_with(b, '//') THEN 'https:' || b WHEN contains(b, '://') THEN b ELSE 'https://' || b END AS url FROM b""")
 def canonical_url(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").filter(F.contains("url", F.lit("://"))).select("page_id", text.canonical_url(F.col("url")).alias("url"))
+    """All pages; a fifth each without scheme, without host marks, with a fragment, and null."""
+    bare = lambda pattern: F.regexp_replace("url", pattern, "")
+    kind = F.col("page_id") % 5
+    url = F.when(kind == 0, F.col("url")).when(kind == 1, bare("^[a-z]+:")).when(kind == 2, bare("^[a-z]+://")).when(kind == 3, F.concat("url", F.lit("#f")))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.canonical_url(url).alias("url"))
 
 
 @query(f"WITH {POSTS} SELECT seq, CASE WHEN coalesce(url, '') <> '' THEN regexp_replace(trim(url), '(?s)[?#].*$', '') ELSE source || '|' || coalesce(CAST(published_at AS VARCHAR), '') || '|' || lower(regexp_replace(title, '[^\\pL\\pN\\pM\\p{{Pc}}]+', '', 'g')) END AS post_key FROM posts")
@@ -102,9 +107,9 @@ def post_key(spark, sf_dir):
     return p.select("seq", text.post_key(F.col("url"), F.col("source"), F.col("published_at"), F.col("title")).alias("post_key"))
 
 
-@query("WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents WHERE NOT contains(text, '&')) SELECT doc_id, length(t) >= 3 AND regexp_matches(t, '[\\pL\\pM]') AS meaningful, length(regexp_replace(regexp_replace(t, '#\\S+', '', 'g'), '[^\\pL\\pN\\pM]', '', 'g')) < 2 AS low_signal FROM c")
+@query(f"WITH c AS (SELECT doc_id, {_sql_clean('text')} AS t FROM documents) SELECT doc_id, length(t) >= 3 AND regexp_matches(t, '[\\pL\\pM]') AS meaningful, length(regexp_replace(regexp_replace(t, '#\\S+', '', 'g'), '[^\\pL\\pN\\pM]', '', 'g')) < 2 AS low_signal FROM c")
 def text_flags(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(~F.contains("text", F.lit("&")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"), text.is_low_signal(F.col("text")).alias("low_signal"))
 
 
@@ -165,22 +170,34 @@ def status_table(spark, sf_dir):
 
 # store
 SIGHTED = f"""WITH {POSTS}, keyed AS (SELECT *, lower(title) AS post_key FROM posts),
-twice AS (SELECT seq, source, title, original_text, url, published_at, views, comments, is_low_signal, is_campaign, is_official, post_key FROM keyed
-  UNION ALL SELECT seq + 1000000000, '', title || ' ', original_text, url, NULL, views + seq % 3, comments, false, false, seq % 2 = 0, post_key FROM keyed)"""
+twice AS (SELECT seq, source, title, original_text, url, published_at, views, comments, is_low_signal, is_campaign, is_official, post_key, 'a' || seq % 7 AS author, 's' || seq % 3 AS source_section, 'first' AS published_at_source, 'short' AS content_scope, 'note' AS source_note FROM keyed
+  UNION ALL SELECT seq + 1000000000, '', title || ' ', original_text, url, NULL, views + seq % 3, comments, false, false, seq % 2 = 0, post_key, CASE WHEN seq % 2 = 0 THEN 'b' ELSE '' END, NULL, 'again', 'longer', 'n' FROM keyed)"""
 MERGED = """SELECT post_key, bool_or(is_official) AS is_official, bool_or(is_campaign) AS is_campaign, max(views) AS views, max(comments) AS comments,
-  arg_max(title, {'l': length(trim(regexp_replace(title, '\\s+', ' ', 'g'))), 's': seq}) AS title, arg_max(source, seq) FILTER (source <> '') AS source, arg_max(published_at, seq) FILTER (published_at IS NOT NULL) AS published_at, max(seq) AS seq, count(*) AS n_seen FROM twice GROUP BY post_key"""
+  arg_max(title, {'l': length(trim(regexp_replace(title, '\\s+', ' ', 'g'))), 's': seq}) AS title, arg_max(source, seq) FILTER (source <> '') AS source, arg_max(published_at, seq) FILTER (published_at IS NOT NULL) AS published_at, max(seq) AS seq, count(*) AS n_seen,
+  arg_max(author, seq) FILTER (author <> '') AS author, arg_max(source_section, seq) FILTER (source_section <> '') AS source_section, arg_max(published_at_source, seq) AS published_at_source,
+  arg_max(content_scope, {'l': length(content_scope), 's': seq}) AS content_scope, arg_max(source_note, {'l': length(source_note), 's': seq}) AS source_note FROM twice GROUP BY post_key"""
 
 
 def sighted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    first = posts(spark, sf_dir).withColumn("post_key", F.lower("title"))
-    again = first.withColumns({"source": F.lit(""), "title": F.concat("title", F.lit(" ")), "published_at": F.lit(None).cast("date"), "views": F.col("views") + F.col("seq") % 3, "is_low_signal": F.lit(False), "is_campaign": F.lit(False), "is_official": F.col("seq") % 2 == 0})
+    first = posts(spark, sf_dir).withColumns({"post_key": F.lower("title"), "author": F.concat(F.lit("a"), F.col("seq") % 7), "source_section": F.concat(F.lit("s"), F.col("seq") % 3), "published_at_source": F.lit("first"), "content_scope": F.lit("short"), "source_note": F.lit("note")})
+    again = first.withColumns({"author": F.when(F.col("seq") % 2 == 0, "b").otherwise(""), "source_section": F.lit(None).cast("string"), "published_at_source": F.lit("again"), "content_scope": F.lit("longer"), "source_note": F.lit("n"), "source": F.lit(""), "title": F.concat("title", F.lit(" ")), "published_at": F.lit(None).cast("date"), "views": F.col("views") + F.col("seq") % 3, "is_low_signal": F.lit(False), "is_campaign": F.lit(False), "is_official": F.col("seq") % 2 == 0})
     return first, again.withColumn("seq", F.col("seq") + 1_000_000_000)
 
 
+MERGED_COLUMNS = ["post_key", "is_official", "is_campaign", "views", "comments", "title", "source", "published_at", "seq", "n_seen", "author", "source_section", "published_at_source", "content_scope", "source_note"]
+
+
 @query(f"{SIGHTED} {MERGED}")
 def dedupe_merge(spark, sf_dir):
     first, again = sighted(spark, sf_dir)
-    return store.merged(first.unionByName(again)).select("post_key", "is_official", "is_campaign", "views", "comments", "title", "source", "published_at", "seq", "n_seen")
+    return store.merged(first.unionByName(again)).select(*MERGED_COLUMNS)
+
+
+@query(f"{SIGHTED} {MERGED}")
+def store_overlay(spark, sf_dir):
+    """The first sightings as the shared store, the others as the local one."""
+    first, again = sighted(spark, sf_dir)
+    return store.overlay(first, again).select(*MERGED_COLUMNS)
 
 
 @query(f"""WITH {POSTS}, keyed AS (SELECT *, source || '|' || seq AS post_key FROM posts), changed AS (SELECT seq, CASE WHEN views IS NULL THEN 'unchanged' WHEN seq % 3 > 0 THEN 'updated' ELSE 'unchanged' END AS change FROM keyed),
@@ -257,7 +274,9 @@ def top_per_category(spark, sf_dir):
     return analytics.top_per_group(analysed_posts(spark, sf_dir), "category", [F.desc("engagement"), F.desc("views"), "seq"], 12).select("category", "rank", "seq")
 
 
-@query(W + ", r AS (SELECT category, title, row_number() OVER (PARTITION BY category ORDER BY engagement * 3 + views0 DESC, seq) AS rank FROM analysed WHERE eligible), c AS (SELECT category, count(*) AS posts FROM analysed WHERE eligible GROUP BY category) SELECT category, posts, CAST(round_even(posts * 100 / (SELECT sum(posts) FROM c), 0) AS INT) AS percent, (SELECT string_agg(title, ' / ' ORDER BY rank) FROM r WHERE r.category = c.category AND rank <= 2) AS titles FROM c")
+@query(W + f""", lab AS (SELECT category, seq, engagement * 3 + views0 AS score, trim(regexp_replace(CASE WHEN trim(title) = '' THEN original_text ELSE title END, '\\s+', ' ', 'g')) AS t FROM analysed WHERE eligible),
+one AS (SELECT category, CASE WHEN length(t) <= 68 THEN t ELSE rtrim(t[:67]) || '…' END AS title, score, seq, row_number() OVER (PARTITION BY category, CASE WHEN length(t) <= 68 THEN t ELSE rtrim(t[:67]) || '…' END ORDER BY score DESC, seq) AS k FROM lab),
+r AS (SELECT category, title, row_number() OVER (PARTITION BY category ORDER BY score DESC, seq) AS rank FROM one WHERE k = 1 AND title <> ''), c AS (SELECT category, count(*) AS posts FROM analysed WHERE eligible GROUP BY category) SELECT category, posts, CAST(round_even(posts * 100 / (SELECT sum(posts) FROM c), 0) AS INT) AS percent, (SELECT string_agg(title, ' / ' ORDER BY rank) FROM r WHERE r.category = c.category AND rank <= 2) AS titles FROM c""")
 def narrative_inputs(spark, sf_dir):
     return report.narrative_inputs(analysed_posts(spark, sf_dir))
 
@@ -272,7 +291,7 @@ def ngram_terms(spark, sf_dir):
     return analytics.terms(rest, r"\p{L}", stop=STOPWORDS + rules.registered(CATEGORIES))
 
 
-TOPICS = W + f""", own AS (SELECT * FROM mentioned WHERE own = category AND content_type = '{rules.NATURAL}'), g AS (SELECT keyword AS topic, category, count(*) AS posts, list(seq ORDER BY seq) AS members, arg_max(title, {{'e': engagement, 's': -seq}}) AS example FROM own GROUP BY ALL HAVING count(*) >= 2),
+TOPICS = W + f""", own AS (SELECT * FROM mentioned WHERE own = category AND content_type = '{rules.NATURAL}'), g AS (SELECT keyword AS topic, category, count(*) AS posts, list(coalesce(nullif(url, ''), source || '|' || title) ORDER BY coalesce(nullif(url, ''), source || '|' || title)) AS members, arg_max(title, {{'e': engagement, 's': -seq}}) AS example FROM own GROUP BY ALL HAVING count(*) >= 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY members ORDER BY length(topic) DESC, topic) AS k FROM g) SELECT topic, category, posts, example FROM k WHERE k = 1"""
 
 
@@ -282,7 +301,14 @@ def repeated_topics(spark, sf_dir):
 
 
 # translation; the stand-in translator writes E for e
-@query()
+CHUNKS = f"""WITH RECURSIVE {POSTS}, cut AS (
+  SELECT seq, -1 AS pos, '' AS chunk, regexp_replace(original_text, '^\\s+|\\s+$', '', 'g') AS rest FROM posts WHERE original_text IS NOT NULL
+  UNION ALL SELECT seq, pos + 1, left(rest, n), regexp_replace(substr(rest, n + 1), '^\\s+', '') FROM (
+    SELECT seq, pos, rest, CASE WHEN length(rest) <= 800 THEN length(rest) WHEN length(regexp_extract(left(rest, 800), '(?s)^.*[。！？\n]')) > 400 THEN length(regexp_extract(left(rest, 800), '(?s)^.*[。！？\n]')) ELSE 800 END AS n FROM cut WHERE rest <> ''))
+SELECT seq, CAST(pos AS INT) AS pos, regexp_replace(chunk, '\\s+$', '') AS chunk FROM cut WHERE pos >= 0"""
+
+
+@query(CHUNKS)
 def chunk_split(spark, sf_dir):
     return translate.chunks(posts(spark, sf_dir))
 
@@ -293,11 +319,12 @@ def pending_chunks(spark, sf_dir):
     return translate.pending(lines, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("text").alias("chunk")).distinct())
 
 
-@query(f"WITH {POSTS}, c AS (SELECT seq, len(list_filter(string_split(original_text, chr(10)), lambda x: length(x) % 7 = 3)) > 0 AS failed, replace(original_text, 'e', 'E') AS t FROM posts WHERE original_text IS NOT NULL) SELECT seq, CASE WHEN failed THEN '' ELSE t END AS translated_text, failed FROM c")
+@query(f"WITH {POSTS}, c AS (SELECT seq, len(list_filter(string_split(original_text, chr(10)), lambda x: length(x) % 7 = 3)) > 0 AS failed, replace(original_text, 'e', 'E') AS t FROM posts WHERE original_text IS NOT NULL UNION ALL SELECT seq, false, '' FROM posts WHERE original_text IS NULL) SELECT seq, CASE WHEN failed THEN '' ELSE t END AS translated_text, failed FROM c")
 def reassemble(spark, sf_dir):
-    parts = posts(spark, sf_dir).select("seq", F.posexplode(F.split("original_text", "\n")).alias("pos", "chunk"))
+    p = posts(spark, sf_dir)
+    parts = p.select("seq", F.posexplode(F.split("original_text", "\n")).alias("pos", "chunk"))
     cache = parts.select("chunk").distinct().filter(F.length("chunk") % 7 != 3).withColumn("translated", F.replace("chunk", F.lit("e"), F.lit("E")))
-    return translate.reassemble(parts, cache)
+    return translate.reassemble(parts, cache, p)
 
 
 # sources

@@ -9,16 +9,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates, text
+from . import values
+
 POST = "source string, title string, original_text string, url string, published_at string, author string, views bigint, comments bigint, content_scope string, source_note string, source_section string, published_at_source string, is_official boolean, is_campaign boolean, is_low_signal boolean"
 
 
-def read_post_store(spark: SparkSession, path: str) -> DataFrame:
-    """Posts of {"posts": [...]} documents; rows without one of the four required texts go, unknown fields are ignored."""
-    docs = spark.read.schema(f"schema_version int, updated_at string, posts array<struct<{POST.replace(' string', ': string').replace(' bigint', ': bigint').replace(' boolean', ': boolean')}>>").json(path, multiLine=True)
-    posts = docs.select(F.posexplode("posts").alias("pos", "p")).select("pos", "p.*")
+def read_post_store(spark: SparkSession, path: str, official_section: str | None = None) -> DataFrame:
+    """Posts of {"posts": [...]} documents by key: rows without one of the four required texts go, unknown fields are ignored,
+    of rows of one key the last stays, and the official flag of feed posts is worked out anew. A document that can't be
+    read gives nothing here; unreadable() lists those."""
+    kind = POST.replace(" string", ": string").replace(" bigint", ": bigint").replace(" boolean", ": boolean")
+    docs = spark.read.schema(f"posts array<struct<{kind}>>, _corrupt_record string").json(path, multiLine=True)
+    posts = docs.withColumn("_file", F.input_file_name()).select("_file", F.posexplode("posts").alias("seq", "p")).select("_file", F.col("seq").cast("long"), "p.*")
     for c in ("source", "title", "original_text", "url"):
-        posts = posts.filter(F.coalesce(F.trim(c), F.lit("")) != "")
-    return posts
+        posts = posts.filter(text.clean(F.col(c)) != "")
+    key = F.concat_ws("|", "source", text.post_key(F.col("url"), F.col("source"), F.col("published_at"), F.col("title")))
+    last = posts.withColumn("post_key", key).groupBy("post_key").agg(F.max_by(F.struct("seq", *[f.split(" ")[0] for f in POST.split(", ")]), F.struct("_file", "seq")).alias("p")).select("post_key", "p.*")
+    named = text.has_any(F.col("author"), values.OFFICIAL_MARKERS) | (F.coalesce(F.col("source_section") == official_section, F.lit(False)) if official_section else F.lit(False))
+    return last.withColumn("is_official", F.when(F.col("source") == values.FEED, named).otherwise(F.col("is_official")))
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """file, message of the documents that aren't JSON objects."""
+    docs = spark.read.schema("posts array<string>, _corrupt_record string").json(path, multiLine=True).select(F.input_file_name().alias("file"), "_corrupt_record")
+    return docs.filter("_corrupt_record is not null").select("file", F.lit("not readable; only this run's results are used").alias("message"))
 
 
 def read_translation_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -26,14 +41,18 @@ def read_translation_cache(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.explode("entries").alias("chunk", "translated")).filter("translated is not null")
 
 
-def _walk(value, key: str):
-    stack = [value]
+def walked(text: str | None):
+    """The objects of a JSON text at any depth, in document order; none where it can't be read (nor where it nests deeper
+    than the JSON library reads, about a thousand levels)."""
+    try:
+        stack = [json.loads(text)]
+    except (TypeError, ValueError, RecursionError):
+        return
     while stack:
         node = stack.pop()
         if isinstance(node, dict):
-            if isinstance(node.get(key), list):
-                yield from node[key]
-            stack += [v for k, v in reversed(node.items()) if k != key or not isinstance(v, list)]
+            yield node
+            stack += reversed(node.values())
         elif isinstance(node, list):
             stack += reversed(node)
 
@@ -44,101 +63,83 @@ def found_lists(payload: Column, key: str) -> Column:
     @F.pandas_udf("array<string>")
     def find(payloads: pd.Series) -> pd.Series:
         def one(text):
-            try:
-                return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in _walk(json.loads(text), key)]
-            except (TypeError, ValueError):
-                return []
+            lists = (node[key] for node in walked(text) if isinstance(node.get(key), list))
+            return [json.dumps(x, ensure_ascii=False, separators=(",", ":")) for found in lists for x in found]
 
         return payloads.map(one)
 
     return find(payload)
 
 
+#: Wrappers around one value, and what negative references stand for.
+WRAPPERS = {"Ref", "ShallowRef", "Reactive", "ShallowReactive", "Readonly", "ShallowReadonly", "EmptyRef"}
+SPECIAL = {-1: None, -2: None, -3: None, -4: None, -5: -0.0}
+
+
 def resolve_references(payload: Column) -> Column:
-    """A flattened payload (a JSON array whose integers point into it, element 0 being the root) as plain JSON; null
-    where it can't be read. Cycles become null. -1 is null, other negative numbers are special values, null in JSON."""
+    """A flattened payload (a JSON array whose integers point into it, element 0 being the root) as plain JSON; null where
+    it can't be read, isn't an array, or nests deeper than the JSON library writes (about a thousand levels). Cycles become
+    null, as do references to undefined, NaN and infinite values, which JSON lacks."""
 
     @F.pandas_udf("string")
     def resolve(payloads: pd.Series) -> pd.Series:
         def one(text):
             try:
                 cells = json.loads(text)
-            except (TypeError, ValueError):
-                return None
-            if not isinstance(cells, list) or not cells:
-                return None
-
-            def at(i, above):
-                if not isinstance(i, int) or isinstance(i, bool) or i < 0 or i >= len(cells) or i in above or len(above) > 200:
+                if not isinstance(cells, list) or not cells:
                     return None
-                cell, above = cells[i], above | {i}
-                if isinstance(cell, dict):
-                    return {k: at(v, above) for k, v in cell.items()}
-                if isinstance(cell, list):
-                    if cell and isinstance(cell[0], str):
-                        kind, rest = cell[0], cell[1:]
-                        if kind == "Date":
-                            return rest[0] if rest else None
-                        if kind == "Set":
-                            return [at(v, above) for v in rest]
-                        if kind == "Map":
-                            return {str(at(k, above)): at(v, above) for k, v in zip(rest[::2], rest[1::2], strict=False)}
-                        return at(rest[0], above) if rest else None
-                    return [at(v, above) for v in cell]
-                return cell
-
-            return json.dumps(at(0, frozenset()), ensure_ascii=False)
+                return json.dumps(_resolved(cells, cells[0] if isinstance(cells[0], int) else 0, set()), ensure_ascii=False)
+            except (TypeError, ValueError, RecursionError):
+                return None
 
         return payloads.map(one)
 
     return resolve(payload)
 
 
-def json_ld_items(payload: Column) -> Column:
-    """The items of a list page: @graph, then itemListElement, then item, with the list's name as section."""
-    item = "struct<url: string, headline: string, description: string, datePublished: string, author: struct<name: string>>"
-    parsed = F.from_json(payload, f"`@graph` array<struct<name: string, itemListElement: array<struct<item: {item}>>>>")
-    return F.flatten(F.transform(parsed["@graph"], lambda g: F.transform(g["itemListElement"], lambda e: F.struct(g["name"].alias("section"), e["item"].alias("item")))))
-
+def _resolved(cells: list, value, above: set):
+    """A value with its references followed; `above` holds the cells that it is in."""
+    if isinstance(value, int) and not isinstance(value, bool):
+        if value in SPECIAL or not 0 <= value < len(cells) or value in above:
+            return SPECIAL.get(value)
+        cell = cells[value]
+        if not isinstance(cell, dict | list):
+            return cell
+        above.add(value)
+        out = _contents(cells, cell, above)
+        above.discard(value)
+        return out
+    return _contents(cells, value, above) if isinstance(value, dict | list) else value
 
-class _Page(HTMLParser):
-    SILENT, VOID = {"script", "style", "head"}, {"br", "hr", "img", "meta", "link", "input"}
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.lines, self.stack, self.title, self.heading = [], [], "", ""
+def _contents(cells: list, cell: dict | list, above: set):
+    at = lambda x: _resolved(cells, x, above)
+    if isinstance(cell, dict):
+        return {k: at(v) for k, v in cell.items()}
+    kind, rest = (cell[0], cell[1:]) if cell and isinstance(cell[0], str) else (None, [])
+    if kind in WRAPPERS:
+        return at(rest[0]) if rest else None
+    if kind == "Date":
+        return rest[0] if rest else ""
+    if kind == "Map":
+        return {str(at(k)): at(v) for k, v in zip(rest[::2], rest[1::2], strict=False)}
+    return [at(v) for v in (rest if kind == "Set" else cell)]
 
-    def handle_starttag(self, tag, attrs):
-        if tag not in self.VOID:
-            self.stack.append(tag)
 
-    def handle_endtag(self, tag):
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
+ITEM = "struct<url: string, headline: string, description: string, datePublished: string, author: struct<name: string>>"
 
-    def handle_data(self, data):
-        data = " ".join(data.split())
-        if data:
-            if "title" in self.stack:
-                self.title += data
-            if not self.SILENT & set(self.stack):
-                self.lines.append(data)
-            if "h1" in self.stack:
-                self.heading += data
 
+def json_ld_items(payload: Column) -> Column:
+    """The items of a list page: @graph, then itemListElement, then item, with the list's name as section."""
+    parsed = F.from_json(payload, f"`@graph` array<struct<name: string, itemListElement: array<struct<item: {ITEM}>>>>")
+    return F.flatten(F.transform(parsed["@graph"], lambda g: F.transform(g["itemListElement"], lambda e: F.struct(g["name"].alias("section"), e["item"].alias("item")))))
 
-def parse_page(page: Column) -> Column:
-    """struct(title, heading, lines) of a page's visible text."""
-
-    @F.pandas_udf("title string, heading string, lines array<string>")
-    def parse(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in pages:
-            p = _Page()
-            p.feed(text or "")
-            p.close()
-            out.append((p.title, p.heading, p.lines))
-        return pd.DataFrame(out, columns=["title", "heading", "lines"])
 
-    return parse(page)
+def list_metadata(pages: DataFrame) -> DataFrame:
+    """post_key, url, headline, description, published_at, author, section of the list JSON-LD of pages(seq, payload); of items
+    of one key the last one stays, items without a key go."""
+    each = pages.select("seq", F.posexplode(json_ld_items(F.col("payload"))).alias("pos", "x"))
+    c = lambda name: text.clean(F.col(f"x.{name}"))
+    rows = each.select("seq", "pos", F.regexp_extract(c("item.url"), r"/post/([^?/#]+)", 1).alias("post_key"), c("item.url").alias("url"), c("item.headline").alias("headline"), c("item.description").alias("description"), F.coalesce(dates.iso_date(F.col("x.item.datePublished")).cast("string"), F.lit("")).alias("published_at"), c("item.author.name").alias("author"), c("section").alias("section"))
+    names = ["url", "headline", "description", "published_at", "author", "section"]
+    return rows.filter("post_key <> ''").groupBy("post_key").agg(F.max_by(F.struct(*names), F.struct("seq", "pos")).alias("m")).select("post_key", "m.*")
