@@ -97,10 +97,11 @@ def is_meaningful(text: Column) -> Column:
     return (F.length(clean(text)) >= 3) & ~clean(text).rlike(r"(?U)^[\d\W_]+$")
 
 
-def is_low_signal(text: Column, exact: list[str] = ()) -> Column:
-    """One of the exact texts, or fewer than two word characters besides #tags."""
-    rest = F.regexp_replace(F.regexp_replace(clean(text), r"(?U)#\S+", ""), r"(?U)[\W_]", "")
-    return clean(text).isin(*exact) | (F.length(rest) < 2) if exact else F.length(rest) < 2
+def is_low_signal(text: Column, exact: list[str] = (), cleaned: bool = False) -> Column:
+    """One of the exact texts, or fewer than two word characters besides #tags. `cleaned`: the text is so already."""
+    text = text if cleaned else clean(text)
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?U)#\S+", ""), r"(?U)[\W_]", "")
+    return text.isin(*exact) | (F.length(rest) < 2) if exact else F.length(rest) < 2
 
 
 def has_any(text: Column, markers: list[str]) -> Column:
@@ -127,9 +128,9 @@ def is_roundup(title: Column, markers: list[str], aliases: list[str]) -> Column:
     return has_any(text, markers) & ((parts >= 3) | ~begins)
 
 
-def is_campaign(text: Column, section: Column, author: Column, sections: list[str], authors: list[str], markers: list[str]) -> Column:
+def is_campaign(text: Column, section: Column, author: Column, sections: list[str], authors: list[str], markers: list[str], cleaned: bool = False) -> Column:
     """An event section, an event account, or a marker in the text or the author's name."""
-    both = F.lower(clean(F.concat_ws(" ", text, author)))
+    both = F.lower((collapse if cleaned else clean)(F.concat_ws(" ", text, author)))
     return F.coalesce(section.isin(*sections), F.lit(False)) | has_any(author, authors) | has_any(both, markers)
 
 

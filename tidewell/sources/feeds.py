@@ -5,11 +5,13 @@ Payloads are columns of JSON text; their nesting is walked in an Arrow pass, all
 
 from __future__ import annotations
 
+import html
 import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import dates, text
 from ..operators.store import merged
@@ -54,7 +56,7 @@ def first_field(item: Column, *paths: str) -> Column:
 PARTS = ("title", "contents", "content_with_style", "summary")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _texts(items: pd.Series) -> pd.Series:
     """The texts below the parts of an item, in order."""
 
@@ -66,7 +68,7 @@ def _texts(items: pd.Series) -> pd.Series:
             inner = node.get("text_content")
             for t in (inner.get("text") if isinstance(inner, dict) else None, node.get("text")):
                 if isinstance(t, str):
-                    out.append(t)
+                    out.append(html.unescape(t))
             for name, x in node.items():
                 if name in (*PARTS, "task_content"):
                     below(x, out)
@@ -85,7 +87,7 @@ def _texts(items: pd.Series) -> pd.Series:
 
 def feed_text(item_json: Column) -> Column:
     """The item's texts, without those that another one contains, joined by blanks."""
-    each = F.filter(F.transform(_texts(item_json), text.clean), lambda t: t != "")
+    each = F.filter(F.transform(_texts(item_json), text.collapse), lambda t: t != "")
 
     def add(kept: Column, t: Column) -> Column:
         others = F.filter(kept, lambda k: ~F.contains(t, k))
@@ -113,8 +115,9 @@ def is_official(tag: Column, author: Column, section: Column, official_section:
 
 
 def flags(post_text: Column, section: Column, author: Column) -> dict[str, Column]:
-    campaign = text.is_campaign(post_text, section, author, values.EVENT_SECTIONS, values.CAMPAIGN_AUTHORS, values.CAMPAIGN_MARKERS)
-    return {"is_campaign": campaign, "is_low_signal": text.is_low_signal(post_text, values.LOW_SIGNAL)}
+    """What a cleaned text says about its post."""
+    campaign = text.is_campaign(post_text, section, author, values.EVENT_SECTIONS, values.CAMPAIGN_AUTHORS, values.CAMPAIGN_MARKERS, cleaned=True)
+    return {"is_campaign": campaign, "is_low_signal": text.is_low_signal(post_text, values.LOW_SIGNAL, cleaned=True)}
 
 
 def feed_posts(items: DataFrame, root: str, official_section: str | None = None, source: str = values.FEED) -> DataFrame:
@@ -156,9 +159,10 @@ def board_routes(payloads: DataFrame, fallback: DataFrame, root: str, hidden_sec
     known = "struct<pinia: struct<commonGuildStore: struct<hiddenChannelId: string, tabInfoList: array<struct<channel_id: string, name: string>>>>>"
     plain = F.coalesce(resolve_references(F.col("payload")), F.col("payload"))
     read = payloads.select("run", F.row_number().over(Window.partitionBy("run").orderBy(F.desc(F.length("payload")), "payload")).alias("nth"), F.from_json(plain, known)["pinia"]["commonGuildStore"].alias("s"))
-    hidden = F.struct(text.clean(F.col("s.hiddenChannelId")).alias("channel_id"), F.lit(hidden_section).alias("section"))
-    tabs = F.transform(F.coalesce("s.tabInfoList", F.array().cast("array<struct<channel_id: string, name: string>>")), lambda t: F.struct(text.clean(t["channel_id"]).alias("channel_id"), text.clean(t["name"]).alias("section")))
-    each = read.select("run", "nth", F.posexplode(F.concat(F.array(hidden), tabs)).alias("pos", "x")).select("run", "nth", "pos", "x.*").filter(F.col("channel_id").rlike("^[0-9]+$") & (F.col("section") != ""))
+    hidden = F.struct(F.col("s.hiddenChannelId").alias("channel_id"), F.lit(hidden_section).alias("name"))
+    tabs = F.coalesce("s.tabInfoList", F.array().cast("array<struct<channel_id: string, name: string>>"))
+    each = read.select("run", "nth", F.posexplode(F.concat(F.array(hidden), tabs)).alias("pos", "x"))
+    each = each.select("run", "nth", "pos", text.clean(F.col("x.channel_id")).alias("channel_id"), text.clean(F.col("x.name")).alias("section")).filter(F.col("channel_id").rlike("^[0-9]+$") & (F.col("section") != ""))
     main = F.min(F.when(F.col("section") == main_section, F.col("nth"))).over(Window.partitionBy("run"))
     each = each.withColumn("_main", main).filter(F.col("_main").isNull() | (F.col("nth") <= F.col("_main")))
     found = each.groupBy("run", "section").agg(F.min_by("channel_id", F.struct("nth", "pos")).alias("channel_id")).withColumn("discovery", F.lit("page_payload"))

@@ -7,11 +7,13 @@ lines, and the texts of wanted elements (by #id or .class). Everything that deci
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import dates, text
 from . import values
@@ -89,7 +91,10 @@ def page(html: Column, wanted: tuple[str, ...] = WANTED) -> Column:
     return parse(html)
 
 
-@F.pandas_udf("url string, headline string, description string, date_published_raw string, author string")
+FOUND = ["url", "headline", "description", "date_published_raw", "author"]
+
+
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in FOUND]))
 def _posting(scripts: pd.Series) -> pd.DataFrame:
     """The first posting of a JSON-LD text: level by level through lists and @graph, of a wanted type or list of types."""
 
@@ -109,7 +114,7 @@ def _posting(scripts: pd.Series) -> pd.DataFrame:
                     return {"url": got("url", "mainEntityOfPage"), "headline": got("headline"), "description": got("text", "description"), "date_published_raw": got("datePublished"), "author": str(by.get("name") or "") if isinstance(by, dict) else ""}
         return {}
 
-    return pd.DataFrame([one(s) for s in scripts], columns=["url", "headline", "description", "date_published_raw", "author"]).astype(object)
+    return pd.DataFrame([one(s) for s in scripts], columns=FOUND).astype(object)
 
 
 def posting(script: Column) -> Column:
@@ -137,37 +142,47 @@ def news_article(linked: Column) -> Column:
     return F.struct(date.alias("published_at"), *[text.clean(first[n]).alias(to) for n, to in (("datePublished", "date_published_raw"), ("headline", "headline"), ("description", "description"))], text.clean(first["author"]["name"]).alias("author"))
 
 
-def list_posts(pages: DataFrame, today: Column, title_tail: str | None = None, names: list[str] = ()) -> DataFrame:
+def _story(lines: list[str], title: str, names: tuple[str, ...]) -> tuple[str | None, list[str], str, str]:
+    """The meta line, the five lines before it from near to far, the body, and who wrote it."""
+    at = next((k for k, x in enumerate(lines) if values.SEEN in x), None)
+    if at is None:
+        return None, [], "", ""
+    skip, body = {values.FOLLOW, title}, []
+    for x in lines[at + 1 :]:
+        if x in values.STOP_LINES or (body and (re.fullmatch(r"\d+", x) or x == values.LIKE or x in names)):
+            break
+        if x not in skip:
+            body.append(x)
+    near = lines[max(0, at - 8) : at][::-1]
+    who = next((x for x in near if x not in skip and len(x) <= 40 and not re.search(values.NO_AUTHOR, x)), "")
+    return lines[at], near[:5], "\n".join(body), who
+
+
+def list_posts(pages: DataFrame, today: Column, title_tail: str | None = None, names: tuple[str, ...] = ()) -> DataFrame:
     """Posts of pages(seq, html, url, fallback_title) by lines. The first line with the word for views is the meta line; the date
     is that of JSON-LD, else of the meta line, else of one of the five lines before; the body is what follows up to a stop
     line (or, once it has begun, a bare number, the word for likes or one of names); the author is that of JSON-LD, else the
     nearest fitting of the eight lines before."""
+
+    @F.pandas_udf("meta string, near array<string>, body string, who string")
+    def story(lines: pd.Series, titles: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_story(list(x), t, names) for x, t in zip(lines, titles, strict=True)], columns=["meta", "near", "body", "who"])
+
     p = pages.withColumn("_p", page(F.col("html")))
     title = text.clean(text.first_filled(F.col("_p.heading"), F.element_at("_p.metas", "og:title"), F.col("fallback_title")))
-    p = p.withColumns({"title": text.without_tail(title, title_tail) if title_tail else title, "_n": news_article(F.col("_p.linked")), "_l": text.drop_repeats(F.col("_p.lines"))})
-    meta = F.get(F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].contains(values.SEEN)), F.lit(0))
-    p = p.withColumn("_m", meta)
-    before = lambda n: F.reverse(F.filter(F.col("_l"), lambda x, i: (i < F.col("_m.i")) & (i >= F.col("_m.i") - n)))
+    p = p.withColumns({"title": text.without_tail(title, title_tail) if title_tail else title, "_n": news_article(F.col("_p.linked"))})
+    p = p.withColumn("_s", story(text.drop_repeats(F.col("_p.lines")), F.col("title")))
     day = lambda x: dates.relative_date(x, today).cast("string")
-    nearby = F.get(F.filter(F.transform(before(5), day), lambda d: d.isNotNull()), F.lit(0))
-    published = F.coalesce(F.nullif(F.col("_n.published_at"), F.lit("")), day(F.col("_m.x")), nearby)
-    skip = lambda x: x.isin(values.FOLLOW) | (x == F.col("title"))
-    after = F.when(F.col("_m").isNotNull(), F.filter(F.col("_l"), lambda x, i: i > F.col("_m.i"))).otherwise(F.array().cast("array<string>"))
-    p = p.withColumn("_a", F.transform(after, lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
-    begun = F.get(F.filter("_a", lambda s: ~skip(s["x"])), F.lit(0))["i"]
-    ends = lambda x: x.rlike("^[0-9]+$") | x.isin(values.LIKE, *names)
-    stop = F.get(F.filter("_a", lambda s: s["x"].isin(*values.STOP_LINES) | ((s["i"] > begun) & ends(s["x"]))), F.lit(0))["i"]
-    body = F.filter("_a", lambda s: (stop.isNull() | (s["i"] < stop)) & ~skip(s["x"]))
-    p = p.withColumn("_b", text.without_tail(text.clean(F.array_join(F.transform(body, lambda s: s["x"]), "\n")), values.SEARCH_TAIL))
+    nearby = F.get(F.filter(F.transform("_s.near", day), lambda d: d.isNotNull()), F.lit(0))
+    published = F.coalesce(F.nullif(F.col("_n.published_at"), F.lit("")), day(F.col("_s.meta")), nearby)
     said = text.clean(F.element_at("_p.metas", "description"))
-    fits = (said != "") & (said != F.col("title")) & ~said.contains("TapTap")
-    p = p.withColumn("_b", F.when(~text.is_meaningful(F.col("_b")) & fits, said).otherwise(F.col("_b")))
-    whose = F.get(F.filter(before(8), lambda x: ~skip(x) & (F.length(x) <= 40) & ~x.rlike(values.NO_AUTHOR)), F.lit(0))
+    body, fits = text.without_tail(text.clean(F.col("_s.body")), values.SEARCH_TAIL), (said != "") & (said != F.col("title")) & ~said.contains("TapTap")
+    p = p.withColumn("_b", F.when(~text.is_meaningful(body) & fits, said).otherwise(body))
     has_body = text.is_meaningful(F.col("_b"))
-    seen = F.regexp_extract(F.col("_m.x"), rf"([0-9,.]+(?U:\s)*[万千]?)(?U:\s)*{values.SEEN}", 1)
+    seen = F.regexp_extract(F.col("_s.meta"), rf"([0-9,.]+(?U:\s)*[万千]?)(?U:\s)*{values.SEEN}", 1)
     return p.select(
         "seq", F.lit(values.LIST).alias("source"), "title", F.when(has_body, F.col("_b")).otherwise(F.col("title")).alias("original_text"), text.canonical_url(F.col("url"), "taptap\\.cn/moment/").alias("url"),
-        published.alias("published_at"), text.first_filled(F.col("_n.author"), whose).alias("author"), text.parse_count(F.nullif(seen, F.lit(""))).alias("views"), F.lit(None).cast("bigint").alias("comments"),
+        published.alias("published_at"), text.first_filled(F.col("_n.author"), F.col("_s.who")).alias("author"), text.parse_count(F.nullif(seen, F.lit(""))).alias("views"), F.lit(None).cast("bigint").alias("comments"),
         F.when(has_body, values.SCOPES["page"]).otherwise(values.SCOPES["title"]).alias("content_scope"), F.lit(values.NOTES["page"]).alias("source_note"),
         F.when(F.col("_n.published_at") != "", values.DATED_BY["page"]).otherwise(values.DATED_BY["page shown"]).alias("published_at_source"),
     )
