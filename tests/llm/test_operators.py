@@ -421,6 +421,60 @@ def test_mined_rules(spark):
     assert [r["key"] for r in url_rules.match_rules(urls, mined).collect()] == [1]
 
 
+def test_mined_verdicts_by_brute_force(spark):
+    """Rules and verdicts against all item sets counted in Python."""
+    rng = np.random.default_rng(10)
+    rows = [sorted({*rng.choice(list("abcdefg"), rng.integers(1, 6)), *([url_rules.BLOCK] if rng.random() < 0.5 else [])}) for _ in range(300)]
+    least, sure = 0.03, 0.55
+    sets, found = [frozenset(r) for r in rows], {}
+    for size in range(1, 6):
+        for less in itertools.combinations("abcdefg", size):
+            with_, both = sum(set(less) <= s for s in sets), sum({*less, url_rules.BLOCK} <= s for s in sets)
+            if both >= least * len(sets) and both / with_ >= sure:
+                found[less] = both / with_
+    kept = {r: c for r, c in found.items() if not any(set(o) < set(r) and found[o] >= c for o in found)}
+    mined = url_rules.mine(spark.createDataFrame([(r,) for r in rows], "items array<string>"), least, sure)
+    got = {tuple(r["antecedent"]): r["confidence"] for r in mined.collect()}
+    assert got.keys() == kept.keys() and all(abs(got[r] - kept[r]) < 1e-9 for r in kept) and kept
+    urls = spark.createDataFrame([(k, sorted(s - {url_rules.BLOCK})) for k, s in enumerate(set(sets))], "key long, tokens array<string>")
+    best = {r["key"]: tuple(r["mined_rule"]) for r in url_rules.match_rules(urls, mined).collect()}
+    for r in urls.collect():
+        fits = [(kept[x], x) for x in kept if set(x) <= set(r["tokens"])]
+        assert best.get(r["key"]) == (max(fits)[1] if fits else None)
+
+
+def test_url_tokens(spark):
+    df = spark.createDataFrame([("http://a.b.org/en/spam/12/page7.PHP?q=1&z&a=2&m=3&k=4#x",)], "url string")
+    host, path = url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))
+    tokens = set(df.select(url_rules.tokens_of(F.col("url"), host, path)).first()[0])
+    assert {"in=spam", "in=12", "ending=php", "query=q", "query=z", "query=a", "query=m", "query=k", "first=en", "host=a.b.org", "site=b.org"} <= tokens
+
+
+def test_language_by_brute_force(spark, odd):
+    """Whole predictions against phrases counted with `in`, ties included."""
+    samples = {"b": " eins zwei drei und ", "a": " eins zwei drei und ", "c": " one two three and "}
+
+    def phrases(word, text):
+        n = i = 0
+        while i < len(word):
+            j = i
+            while j < len(word) and word[i : j + 1] in text:
+                j += 1
+            n, i = n + 1, max(j, i + 1)
+        return n
+
+    texts = [*ODD_TEXTS, "eins und zwei", "one and two", "xx yy", "zwei and"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.predict_languages(df, samples).collect():
+        words = re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower())
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        share = {k: sum(phrases(f" {w} ", t) for w in words) / sum(len(w) + 2 for w in words) for k, t in samples.items()}
+        best = min(sorted(share), key=share.get)
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - share[best] / min(v for k, v in share.items() if k != best))) < 1e-12
+
+
 # all
 BIG = 2**53
 STRANGE = [(BIG + 1, "uno dos tres cuatro"), (None, "null id"), (BIG + 3, None), (BIG + 5, "uno dos tres cuatro"), (BIG + 5, "uno dos tres cuatro"), (BIG + 7, ""), (None, None)]

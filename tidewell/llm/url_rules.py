@@ -2,13 +2,16 @@
 
 Spark's FP-growth mines combinations of URL tokens together with the label of the page. Rules whose
 consequent is the label `block`, with enough support and confidence, are kept; a rule with an antecedent
-that contains that of a kept rule of no less confidence is pruned. Rules are matched by an inverted index:
-a rule's tokens join the tokens of the URLs, and a rule fits where as many of its tokens were met as it has.
+that contains that of a kept rule of no less confidence is pruned. Rules are matched by an inverted index.
 Fixed rules (host suffix and path prefix, longest first) come before the mined ones.
 
 A page is labelled bad if its `labels` row says toxic or quality 0. Tokens of a URL are its host, its
-registered suffixes, the first path segment, the shape of the last one, the file ending and the names of
-query parameters: at most ten of them whatever the URL is like, so that frequent item sets stay few.
+suffixes, scheme, all path segments (the first by itself, the last by its shape, those between as they are), the
+file ending and the names of all query parameters. Tokens that fewer pages than the support have are left out
+before mining, so that a page's item sets stay few.
+
+A rule is matched through its rarest token alone: only URLs that have it meet the rule, and its other tokens are then
+looked up in the URL's. Frequent tokens such as the scheme anchor a rule only where it has nothing rarer.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule and the method's
 verdict on an empty token set (allow); a null page_id and repeated rows give a row each; without labels
@@ -50,7 +53,9 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     last = F.get(segments, F.size(segments) - 1)
     shape = F.regexp_replace(F.regexp_replace(last, r"(?s)[0-9]+", "9"), r"(?s)[^9.]+", "a")
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
-    names = F.slice(F.array_sort(F.array_distinct(F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, "(?s)^[^=]*", 0)))), 1, 3)
+    names = F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, "(?s)^[^=]*", 0))
+    between = F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0)))
+    ending = F.regexp_extract(last, r"(?s)\.([A-Za-z0-9]{1,8})$", 1)
     tokens = F.array(
         F.concat(F.lit("host="), host),
         F.when(F.size(labels) > 1, F.concat(F.lit("site="), F.array_join(F.slice(labels, -2, 2), "."))),
@@ -58,9 +63,10 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         F.when(F.size(labels) > 2, F.concat(F.lit("sub="), F.get(labels, F.lit(0)))),
         F.concat(F.lit("first="), F.get(segments, F.lit(0))),
         F.concat(F.lit("shape="), shape),
+        F.when(ending != "", F.concat(F.lit("ending="), F.lower(ending))),
         F.concat(F.lit("scheme="), F.regexp_extract(url, "(?s)^(.*?)://", 1)),
     )
-    tokens = F.concat(F.array_compact(tokens), F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("query="), n)))
+    tokens = F.concat(F.array_compact(tokens), F.transform(between, lambda s: F.concat(F.lit("in="), s)), F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("query="), n)))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(tokens)))
 
 
@@ -73,25 +79,42 @@ def fixed_rule(host: Column, path: Column) -> tuple[Column, Column]:
     return name, verdict
 
 
+def anchored(rules: DataFrame, frequency: DataFrame) -> DataFrame:
+    """rules(antecedent) with `anchor`, the token of each that is rarest by frequency(token, n); one without a count is rarest."""
+    each = rules.select("antecedent", F.explode("antecedent").alias("token")).join(frequency, "token", "left")
+    rarest = each.groupBy("antecedent").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("anchor"))
+    return rules.join(rarest, "antecedent")
+
+
+def inside(less: Column, more: Column) -> Column:
+    return F.size(F.array_except(less, more)) == 0
+
+
 def mine(transactions: DataFrame, support: float, confidence: float) -> DataFrame:
     """rule_id, antecedent, confidence of the pruned rules, from rows with an array `items`."""
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(transactions)
+    total = transactions.count()
+    counts = transactions.select(F.explode(F.array_distinct("items")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support * total)
+    known = transactions.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode(F.array_distinct("items")).alias("token")).join(counts.select("token"), "token", "left_semi")
+    items = known.groupBy("_row").agg(F.collect_list("token").alias("items"))
+    # rows without a frequent token count for the support: they are what is missing to `total`
+    share = support * total / max(1, items.count()) if total else support
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, share), minConfidence=confidence).fit(items)
     found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("antecedent"), "confidence")
-    shorter = found.select(F.col("antecedent").alias("less"), F.col("confidence").alias("no_less"), F.explode("antecedent").alias("token"))
+    uses = found.select(F.explode("antecedent").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    shorter = anchored(found, uses).select(F.col("antecedent").alias("less"), F.col("confidence").alias("no_less"), F.col("anchor").alias("token"))
     met = found.select("antecedent", "confidence", F.explode("antecedent").alias("token")).join(shorter, "token")
-    covered = met.groupBy("antecedent", "confidence", "less", "no_less").count()
-    covered = covered.filter((F.col("count") == F.size("less")) & (F.size("less") < F.size("antecedent")) & (F.col("no_less") >= F.col("confidence")))
+    covered = met.filter((F.size("less") < F.size("antecedent")) & (F.col("no_less") >= F.col("confidence")) & inside(F.col("less"), F.col("antecedent")))
     pruned = found.join(covered.select("antecedent").distinct(), "antecedent", "left_anti")
     return pruned.withColumn("rule_id", F.xxhash64("antecedent"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """key and the best mined rule of each distinct token set (key, tokens) that some rule fits."""
-    index = rules.select("rule_id", "confidence", "antecedent", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
-    met = urls.select("key", F.explode("tokens").alias("token")).join(index, "token")
-    whole = met.groupBy("key", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("confidence").alias("confidence"), F.first("antecedent").alias("antecedent"))
+    each = urls.select("key", "tokens", F.explode("tokens").alias("anchor"))
+    frequency = each.groupBy(F.col("anchor").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+    met = each.join(anchored(rules.select("antecedent", "confidence"), frequency), "anchor").filter(inside(F.col("antecedent"), F.col("tokens")))
     best = F.max(F.struct("confidence", "antecedent"))
-    return whole.filter("n = need").groupBy("key").agg(best.alias("best")).select("key", F.col("best.antecedent").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
+    return met.groupBy("key").agg(best.alias("best")).select("key", F.col("best.antecedent").alias("mined_rule"), F.col("best.confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, support: float = 0.005, confidence: float = 0.6) -> DataFrame:
