@@ -195,6 +195,21 @@ def test_near_duplicates_of_a_template(spark):
     assert rows_of(got, "doc_id", "component_id") == list(enumerate(want.tolist()))
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    """A third of the rows is one document, and some ids have several texts."""
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(200)]
+    base = list(rng.choice(words, 60))
+    rows = [(5, " ".join(base))] * 200
+    for k in range(60):
+        near = list(base)
+        near[int(rng.integers(60))] = f"n{k}"
+        rows.append((10 + k, " ".join(near)))
+    rows += [(300 + k % 20, " ".join(rng.choice(words, 40))) for k in range(60)] + [(301, " ".join(base[:-1]))]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), words=2)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(plain_links(rows, 2, 80), key=lambda r: tuple(map(key, r)))
+
+
 def test_near_duplicates_empty(nothing):
     assert near_dups.near_duplicates(nothing).count() == 0
 

@@ -265,8 +265,8 @@ def candidates(classes: DataFrame, scratch: Scratch, name: str, width: int, perc
     return scanned.filter("a is not null").select("a", "b", "ca", "cb", "apart").unionByName(met), scanned.filter("run is not null").select("run", "id")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and set (binary) of the documents of ids(id)."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int, several: bool = False) -> DataFrame:
+    """id and set (binary) of the documents of ids(id), each set of an id once; `several`: a doc_id may have several rows."""
     if ids.count() <= BROADCAST_IDS:  # 8 MB; beyond, Spark joins by shuffle
         ids = F.broadcast(ids)
 
@@ -275,7 +275,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"id": batch["doc_id"], "set": [s.set_of(t).tobytes() for t in batch["text"]]})
 
-    return docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInPandas(make, "id long, set binary")
+    out = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").mapInPandas(make, "id long, set binary")
+    return out.dropDuplicates(["id", "set"]) if several else out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -445,14 +446,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     prints = scratch.table(fingerprints(docs, words), "prints")
     sets_of = prints.filter("n_shingles > 0 and doc_id is not null")
-    heads = scratch.table(sets_of.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")), "heads")
-    classes = sets_of.join(heads.select("hi", "lo", "id"), ["hi", "lo"]).filter("doc_id = id").select("id", "n_shingles", "signature", "buckets")
+    held_ = F.struct("n_shingles", "signature", "buckets")
+    classes = sets_of.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first(held_).alias("s")).select("hi", "lo", "id", "s.*")
+    classes = scratch.table(classes, "classes")  # a row a set: rows of one doc_id and text are one
+    heads, classes = classes.select("hi", "lo", "id"), classes.select("id", "n_shingles", "signature", "buckets")
+    several = not sets_of.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     alone = classes.withColumns({"group": F.col("id"), "buckets": F.lit(None).cast("binary")})  # the first pass does without
     nearest, members = candidates(alone, scratch, "scan-0", width, percent, nearest=True)
     nearest = nearest.groupBy("a").agg(F.min_by("b", F.struct(F.col("b") > F.col("a"), "apart", "b")).alias("b"))
     nearest = scratch.table(nearest, "nearest")
     ids = nearest.select(F.col("a").alias("id"))  # every document with a candidate
-    sets = scratch.table(shingle_sets(docs, ids, words), "sets")
+    sets = scratch.table(shingle_sets(docs, ids, words, several), "sets")
     pairs = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = scratch.table(confirmed(pairs, sets, percent), "links-0")
     groups = scratch.table(components(links, scratch, "groups-0"), "members-0")
@@ -481,7 +485,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, width: i
     if not placed.isEmpty():
         found = scratch.table(run_candidates(placed, classes, percent), "found")
         if not found.isEmpty():
-            sets = scratch.table(shingle_sets(docs, found.select("id").distinct(), words), "sets-3")
+            sets = scratch.table(shingle_sets(docs, found.select("id").distinct(), words, several), "sets-3")
             links, groups = with_links(run_links(found, sets, percent), 3)
             scratch.drop("sets-3")
         scratch.drop("found")

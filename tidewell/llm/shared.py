@@ -41,8 +41,17 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Removes all tables but the named ones, which a returned frame still reads."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(root):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)
+
     def drop(self, *names: str) -> None:
-        """Removes the named tables, or everything."""
+        """Removes the named tables, or everything. What a returned frame reads stays until its user drops the scratch folders
+        of a finished job (they lie under spark.checkpoint.dir, named after their operator)."""
         for place in [self.path(n) for n in names] or [self.root]:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

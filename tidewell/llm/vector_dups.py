@@ -158,6 +158,7 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     edges = links.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     groups = scratch.table(components(edges, scratch, "groups"), "members").withColumnRenamed("node", "id")
     known = scratch.table(classes.join(sums, "id", "left").join(groups, "id", "left"), "known")
+    scratch.keep("rows", "known")
     out = rows.select("vec_id", "hi", "lo").join(known, ["hi", "lo"], "left")
     component = F.coalesce("component", "id", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("weight") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
