@@ -3,6 +3,8 @@
 import datetime
 import html
 import json
+import random
+import re
 import time
 from pathlib import Path
 
@@ -13,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates, text
 from tidewell.operators import analytics, coverage, rules, store, translate, validate
-from tidewell.plans import report
+from tidewell.plans import collect, report
 from tidewell.queries import ORACLE_SQL, QUERIES, analysed_posts
-from tidewell.sources import payloads
+from tidewell.sources import pages, payloads
 from tidewell.streaming import upserts
 
 
@@ -71,13 +73,44 @@ def test_whole_texts(spark, tmp_path):
 ])
 def test_aliases(spark, aliases, value, want):
     assert column(spark, [value], lambda v: rules.alias_count(v, aliases)) == [want]
-    assert column(spark, [value], lambda v: rules.claimed([("x", aliases)])(v)) == [[want]]
+    assert rules.Matcher((tuple(aliases),)).counts(rules.folded(value)) == [want]
+
+
+def claims(text, aliases):
+    """Claimed occurrences, by regular expressions and a list of taken spans."""
+    taken = []
+    for a in sorted(dict.fromkeys(rules.folded(x) for x in aliases if x), key=len, reverse=True):
+        pattern = rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])" if re.fullmatch(r"[a-z0-9_+\- ]+", a) else re.escape(a)
+        taken += [m.span() for m in re.finditer(pattern, text) if all(m.end() <= x or y <= m.start() for x, y in taken)]
+    return len(taken)
+
+
+def test_aliases_at_random():
+    rng = random.Random(1)
+    for _ in range(4000):
+        groups = [["".join(rng.choice("ab新区 Ｂß") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 5))] for _ in range(3)]
+        groups = [[a for a in g if rules.folded(a) and not any(rules.folded(a).startswith(rules.folded(a)[k:]) for k in range(1, len(rules.folded(a))))] for g in groups]  # none overlaps itself
+        text = rules.folded("".join(rng.choice("ab新区 Ｂßc") for _ in range(rng.randint(0, 20))))
+        assert rules.Matcher(tuple(map(tuple, groups))).counts(text) == [claims(text, g) for g in groups]
+
+
+def test_folded_aliases(spark):
+    assert column(spark, ["the boss", "STRASSE", "x"], lambda v: rules.claimed([("a", ["BOSS"]), ("b", ["straße"])])(v)) == [[1, 0], [0, 1], [0, 0]]
 
 
 def test_categories(spark):
     groups = [("a", ["x"]), ("b", ["y"]), ("c", ["z"])]
-    assert column(spark, ["y x y", "z", "-"], lambda v: rules.categories(rules.scores(v, groups), groups)) == [["b", "a"], ["c"], []]
-    assert column(spark, ["y x y"], lambda v: rules.categories(rules.scores(v, groups, most=0), groups)) == [["b", "a"]]
+    assert column(spark, ["y x y", "z", "-"], lambda v: rules.categories(rules.claimed(groups)(v), groups)) == [["b", "a"], ["c"], [rules.OTHER]]
+
+
+def test_analysed_frame(spark):
+    names = [f.split()[0] for f in rules.ANALYSED.replace("map<string, int>", "map<>").split(",")]
+    assert rules.nothing_analysed(spark).columns == names and len(names) == 26
+    rows = [(1, "src", "kw one", "two kw kw three", "2024-01-02", None, 3), (2, "src", "none", "-", "no date", "x", None)]
+    posts = spark.createDataFrame(rows, "seq long, source string, title string, original_text string, published_at string, title_ko string, comments long")
+    a = rules.by_recency(rules.analysed(posts, [("c", ["kw"])], [("three", ["three"]), ("kw", ["kw"])], ["none"], [])).collect()
+    assert [r["seq"] for r in a] == [1, 2] and a[0]["keyword_labels"] == ["kw", "three"] and a[0]["keyword_counts"] == {"kw": 2, "three": 1}
+    assert (a[0]["category"], a[0]["engagement"], a[1]["category"], a[1]["content_type"], a[1]["date"], a[1]["views"]) == ("c", 3, rules.OTHER, rules.EVENT, None, 0)
 
 
 POST = "post_key string, seq long, title string, original_text string, url string, source string, published_at date, views long, comments long, is_official boolean, is_campaign boolean, is_low_signal boolean"
@@ -109,6 +142,7 @@ def test_split():
     assert translate.split_text("一二三四五六七。九十甲乙", 10) == ["一二三四五六七。", "九十甲乙"]
     assert translate.split_text("一。三四五六七八九十甲", 10) == ["一。三四五六七八九十", "甲"]
     assert translate.split_text(None, 10) == []
+    assert translate.split_text("一二三四五六。   七八九十甲乙丙丁", 8) == ["一二三四五六。", "七八九十甲乙丙丁"]  # blanks go before the next cut
 
 
 def test_translate(spark):
@@ -127,9 +161,14 @@ def test_payloads(spark, tmp_path):
     assert column(spark, ['{"a":[{"vecFeed":[{"id":1}]}],"vecFeed":[2]}', "no json", None], lambda v: payloads.found_lists(v, "vecFeed")) == [["2", '{"id":1}'], [], []]
     flat = json.dumps([{"a": 1, "b": 2}, ["Date", "2024"], [3, -1], "x", 0])
     assert json.loads(column(spark, [flat], payloads.resolve_references)[0]) == {"a": "2024", "b": ["x", None]}
+    cyclic, deep = json.dumps([{"self": 0, "r": 1}, ["Ref", 2], True]), "[" * 100_000 + "]" * 100_000
+    assert column(spark, [cyclic, deep, "{}"], payloads.resolve_references) == ['{"self": null, "r": true}', None, None]
+    assert column(spark, [deep], lambda v: payloads.found_lists(v, "a")) == [[]]
+    (tmp_path / "bad.json").write_text("no json")
+    assert payloads.unreadable(spark, f"{tmp_path}/bad.json").count() == 1 and payloads.read_post_store(spark, f"{tmp_path}/bad.json").count() == 0
     ld = json.dumps({"@graph": [{"name": "n", "itemListElement": [{"item": {"url": "u", "headline": "h"}}]}]})
     assert column(spark, [ld], payloads.json_ld_items)[0][0]["item"]["headline"] == "h"
-    page = column(spark, ["<head><title>T&amp;</title></head><h1>H</h1><script>no</script><p>a<b>b</b>", None], payloads.parse_page)
+    page = column(spark, ["<head><title>T&amp;</title></head><h1>H</h1><script>no</script><p>a<b>b</b>", None], pages.page)
     assert (page[0]["title"], page[0]["heading"], page[0]["lines"]) == ("T&", "H", ["H", "a", "b"])
 
 
@@ -140,6 +179,50 @@ def test_coverage(spark):
     assert [r["n"] for r in coverage.converged(per, "run", "n").filter("converged").orderBy("n").collect()][0] == 34
 
 
+def test_store_pointer(spark, tmp_path):
+    first = sightings(spark, [("ab", 1, "x", False)])
+    for rows in (first, first.withColumn("views", F.lit(9))):
+        store.write_store(rows, f"file://{tmp_path}/s")
+    assert store.read_store(spark, f"file://{tmp_path}/s").first()["views"] == 9
+
+
+def test_readers_fail_alone(spark):
+    def broken(_):
+        raise collect.SourceUnavailable("closed")
+
+    posts, failures = collect.live_posts(spark, ["a", "b", "z"], {"a": lambda s: s.createDataFrame([("a", "k")], "source string, post_key string"), "b": broken})
+    assert posts.count() == 1 and [tuple(r) for r in failures.collect()] == [("b", "blocked", "closed")]
+
+
+def test_streaks_across_stretches(spark):
+    rng, rows, streak, want = random.Random(2), [], {}, []
+    for k in range(400):
+        run, holds = k % 2, rng.random() < 0.93
+        streak[run] = streak.get(run, 0) + 1 if holds else 0
+        rows.append((run, k, holds))
+        want.append(streak[run])
+    df = spark.createDataFrame(rows, "run int, k long, holds boolean")
+    for width in (7, 50, 1000):
+        assert [r["streak"] for r in coverage.streaks(df, "run", "k", F.col("holds"), width).orderBy("k").collect()] == want
+
+
+def test_export_file(spark, sf_dir, tmp_path):
+    report.write_csv(report.export(analysed_posts(spark, sf_dir)).coalesce(1), f"{tmp_path}/csv")
+    data = next(Path(f"{tmp_path}/csv").glob("*.csv")).read_bytes()
+    assert data.startswith(b"\xef\xbb\xbfdate,source,category") and report.grid(analysed_posts(spark, sf_dir)).columns[0] == "일자"
+
+
+def test_reports(spark, sf_dir):
+    from tidewell.queries import CATEGORIES, CATEGORY_OF
+
+    a = analysed_posts(spark, sf_dir).cache()
+    order = [c for c, _ in CATEGORIES]
+    assert report.report_draft(a, CATEGORY_OF, order).count("- ") >= 2 and report.report_draft(a.limit(0), CATEGORY_OF, order) == "no results"
+    told = report.trend_report(a, analytics.crosstab(report.split_evidence(a)[0], order), CATEGORY_OF, "2024")
+    assert told.startswith("- 2024: ") and "keywords" in told
+    assert "caution" in report.narrative(a, CATEGORY_OF, ["a note"])
+
+
 def test_terms_hide(spark):
     posts = spark.createDataFrame([(k, "t", "abc") for k in range(4)] + [(9, "t", "ab")], "seq long, title string, original_text string")
     assert [(r["term"], r["posts"]) for r in analytics.terms(posts, "[a-z]").collect()] == [("ab", 5), ("abc", 4)]
@@ -153,16 +236,17 @@ def test_streams(spark, tmp_path):
         time.sleep(1.1)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     upserts.upsert_stream(stream, f"{tmp_path}/store", f"{tmp_path}/checkpoint").awaitTermination()
-    last = max((p for p in Path(f"{tmp_path}/store").iterdir()), key=lambda p: int(p.name))
-    m = spark.read.parquet(str(last)).first()
+    m = upserts.stored(spark, f"{tmp_path}/store").first()
     assert (m["views"], m["source"], m["is_official"]) == (5, "x", True)
     daily = upserts.daily_counts(stream.withColumn("t", F.lit("2024-01-01").cast("timestamp")), "t")
-    assert daily.isStreaming
+    counted = daily.writeStream.format("memory").queryName("daily_test").outputMode("complete").trigger(availableNow=True).start()
+    counted.awaitTermination()
+    assert sum(r["count"] for r in spark.table("daily_test").collect()) == 2
 
 
 def test_report(spark, sf_dir, tmp_path):
     a = analysed_posts(spark, sf_dir)
-    assert report.narrative(a).startswith("- ") and report.narrative(a.limit(0)) == "- no posts in this period"
+    assert report.narrative(a).startswith("- ") and report.narrative(a.limit(0)).startswith("- no posts in this period")
     report.write_csv(a.groupBy("category").count(), f"{tmp_path}/csv")
     assert spark.read.csv(f"{tmp_path}/csv", header=True).count() > 0
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import dates, text
 from .operators import analytics, coverage, rules, store, translate, validate
 from .plans import report
-from .sources import payloads
+from .sources import pages, payloads
 from .sources.synthetic import posts
 
 #: Demonstration rules for the synthetic texts; real rules are the caller's data.
@@ -86,6 +86,11 @@ def clean_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.clean(F.col("text")).alias("cleaned"))
 
 
+@query(f"SELECT doc_id, {_sql_clean('text')} AS cleaned FROM documents")
+def clean_text_whole(spark, sf_dir):
+    return clean_text(spark, sf_dir)
+
+
 @query("WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 72 THEN t ELSE rtrim(t[:71]) || '…' END AS title FROM c")
 def excerpt_title(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.excerpt(F.col("text")).alias("title"))
@@ -113,11 +118,9 @@ def text_flags(spark, sf_dir):
     return docs.select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"), text.is_low_signal(F.col("text")).alias("low_signal"))
 
 
-@query()
+@query(ORACLE_SQL["text_flags"])
 def text_flags_whole(spark, sf_dir):
-    """As text_flags, of every document, without SQL."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", text.is_meaningful(F.col("text")).alias("meaningful"), text.is_low_signal(F.col("text")).alias("low_signal"))
+    return text_flags(spark, sf_dir)
 
 
 @query("SELECT o_orderkey, CAST(floor(CAST(regexp_extract(CAST(o_orderkey AS VARCHAR), '[0-9]+') AS DECIMAL(28,8)) * 10000) AS BIGINT) AS n FROM orders")
@@ -346,7 +349,7 @@ def json_walk(spark, sf_dir):
 
 @query()
 def page_parse(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", payloads.parse_page(F.col("html")).alias("p"))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.page(F.col("html")).alias("p"))
     return p.select("page_id", "p.title", "p.heading", F.size(text.drop_repeats(F.col("p.lines"))).alias("n_lines"))
 
 

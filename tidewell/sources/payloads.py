@@ -32,8 +32,8 @@ def read_post_store(spark: SparkSession, path: str, official_section: str | None
 
 def unreadable(spark: SparkSession, path: str) -> DataFrame:
     """file, message of the documents that aren't JSON objects."""
-    docs = spark.read.schema("posts array<string>, _corrupt_record string").json(path, multiLine=True).select(F.input_file_name().alias("file"), "_corrupt_record")
-    return docs.filter("_corrupt_record is not null").select("file", F.lit("not readable; only this run's results are used").alias("message"))
+    docs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.schema_of_variant(F.try_parse_json("value")).alias("kind"))
+    return docs.filter(~F.coalesce(F.col("kind").startswith("OBJECT"), F.lit(False))).select("file", F.lit("not readable; only this run's results are used").alias("message"))
 
 
 def read_translation_cache(spark: SparkSession, path: str) -> DataFrame:
