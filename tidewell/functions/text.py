@@ -38,8 +38,9 @@ def collapse(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Entities resolved only where the text has an ampersand, so most rows stay in the JVM's own path."""
-    return collapse(F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text))
+    """Entities resolved only where the text has an ampersand: Python sees a null for all other rows."""
+    has = F.contains(text, F.lit("&"))
+    return collapse(F.when(has, unescape(F.when(has, text))).otherwise(text))
 
 
 def excerpt(text: Column, size: int = 72) -> Column:
@@ -160,8 +161,9 @@ def _tagless(texts: pd.Series) -> pd.Series:
 
 
 def strip_html(text: Column) -> Column:
-    """Tags to blanks, then cleaned; texts without < or & stay in the JVM."""
-    return collapse(F.when(text.rlike("[<&]"), unescape(_tagless(text))).otherwise(text))
+    """Tags to blanks, then cleaned; of texts without < or & Python sees a null."""
+    has = text.rlike("[<&]")
+    return collapse(F.when(has, unescape(_tagless(F.when(has, text)))).otherwise(text))
 
 
 def without_tail(text: Column, pattern: str) -> Column:
