@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -258,6 +259,35 @@ def test_text_search_shards(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(text_search, "QUERIES", 3)
     assert rows_of(text_search.search(docs, ask, 5), "query_id", "rank", "doc_id", "score") == one
 
+def _searched_directly(texts, asked, k):
+    """Scores of every pair, without an index."""
+    found = {i: text_search.Words()(t) for i, t in texts}
+    n, mean = sum(len(t) > 0 for t, _ in found.values()), np.mean([c.sum() for _, c in found.values() if len(c)])
+    df = Counter(t for terms, _ in found.values() for t in terms.tolist())
+    out = []
+    for q in asked:
+        scores = []
+        for d, (terms, counts) in found.items():
+            own = set(found[q][0].tolist())
+            parts = [math.floor(1e6 * math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * (c * 2.2) / (c + 1.2 * (0.25 + 0.75 * counts.sum() / mean)) + 0.5) for t, c in zip(terms.tolist(), counts.tolist()) if t in own]
+            if parts:
+                scores.append((-sum(parts), d))
+        out += [(q, rank + 1, d, -s / 1e6) for rank, (s, d) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [1, 3, 500])
+def test_text_search_directly(spark, k):
+    """Rare words alone, common words alone, both, repeated texts (ties), more blocks than the first ones."""
+    draw = np.random.default_rng(7)
+    texts = [(i, " ".join(f"c{w}" for w in draw.integers(0, 6, draw.integers(1, 9))) + " " + " ".join(f"r{w}" for w in draw.integers(0, 300, draw.integers(0, 9)))) for i in range(700)]
+    texts += [(800 + i, f"r{i} only{i % 7}") for i in range(40)] + [(900 + i, "c1 c2 c3") for i in range(30)] + [(1000, ""), (1001, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for condition in ("doc_id % 20 = 0", "doc_id between 801 and 804"):  # the second asks for rare words only
+        asks = docs.filter(condition)
+        got = text_search.search(docs, asks.selectExpr("doc_id as query_id", "text"), k)
+        assert sorted(tuple(r) for r in got.collect()) == _searched_directly(texts, [r[0] for r in asks.select("doc_id").collect()], k)
+
 
 def test_text_search_empty(nothing):
     assert text_search.search(nothing, nothing.select(nothing["doc_id"].alias("query_id"), "text")).count() == 0
