@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,18 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one machine, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        jsc = spark.sparkContext._jsc.sc()
-        if not jsc.getCheckpointDir().isDefined():
-            if not re.match(r"local($|\[)", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
-        folder = jsc.getCheckpointDir().get()
-    return folder.rstrip("/")
+from ..scratch import shared_folder
 
 
 class Scratch:
@@ -65,6 +52,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns and no others. Spark's names ignore case; of columns that differ in case alone the one that is
+    written exactly so is taken, else the first."""
+    have = df.columns
+    at = {n: have.index(n) if n in have else [c.lower() for c in have].index(n.lower()) for n in names}
+    return df.toDF(*[f"_{k}" for k in range(len(have))]).select(*[F.col(f"_{k}").alias(n) for n, k in at.items()])
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], tuple[list, ...]]], schema: str, rows: int = 2000) -> DataFrame:
     """doc_id (as a long) beside the columns of `schema` that make()(texts) gives for the texts of at most `rows` rows.
     Ids pass by as Arrow columns, so nulls among them change nothing; no other column goes to Python; no shuffle."""
