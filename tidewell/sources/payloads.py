@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -76,19 +77,23 @@ WRAPPERS = {"Ref", "ShallowRef", "Reactive", "ShallowReactive", "Readonly", "Sha
 SPECIAL = {-1: None, -2: None, -3: None, -4: None, -5: -0.0}
 
 
-def resolve_references(payload: Column) -> Column:
+#: Characters up to which a payload is written out in full wherever its cells are referred to.
+BUDGET = 16_000_000
+
+
+def resolve_references(payload: Column, budget: int = BUDGET) -> Column:
     """A flattened payload (a JSON array whose integers point into it, element 0 being the root) as plain JSON; null where
-    it can't be read, isn't an array, or nests deeper than the JSON library writes (about a thousand levels). Cycles become
-    null, as do references to undefined, NaN and infinite values, which JSON lacks."""
+    it can't be read or isn't an array. A reference back to a cell that is still being read, in document order from the
+    root, becomes null, as do references to undefined, NaN and infinite values, which JSON lacks. Each cell is read once. Where
+    shared cells, written out at each reference, would come to more than `budget` characters, each is written once, where
+    it first comes, and is null elsewhere."""
 
     @F.pandas_udf("string")
     def resolve(payloads: pd.Series) -> pd.Series:
         def one(text):
             try:
                 cells = json.loads(text)
-                if not isinstance(cells, list) or not cells:
-                    return None
-                return json.dumps(_resolved(cells, cells[0] if isinstance(cells[0], int) else 0, set()), ensure_ascii=False)
+                return Cells(cells).text(budget) if isinstance(cells, list) and cells else None
             except (TypeError, ValueError, RecursionError):
                 return None
 
@@ -97,33 +102,110 @@ def resolve_references(payload: Column) -> Column:
     return resolve(payload)
 
 
-def _resolved(cells: list, value, above: set):
-    """A value with its references followed; `above` holds the cells that it is in."""
-    if isinstance(value, int) and not isinstance(value, bool):
-        if value in SPECIAL or not 0 <= value < len(cells) or value in above:
-            return SPECIAL.get(value)
-        cell = cells[value]
-        if not isinstance(cell, dict | list):
-            return cell
-        above.add(value)
-        out = _contents(cells, cell, above)
-        above.discard(value)
-        return out
-    return _contents(cells, value, above) if isinstance(value, dict | list) else value
-
-
-def _contents(cells: list, cell: dict | list, above: set):
-    at = lambda x: _resolved(cells, x, above)
-    if isinstance(cell, dict):
-        return {k: at(v) for k, v in cell.items()}
-    kind, rest = (cell[0], cell[1:]) if cell and isinstance(cell[0], str) else (None, [])
-    if kind in WRAPPERS:
-        return at(rest[0]) if rest else None
-    if kind == "Date":
-        return rest[0] if rest else ""
-    if kind == "Map":
-        return {str(at(k)): at(v) for k, v in zip(rest[::2], rest[1::2], strict=False)}
-    return [at(v) for v in (rest if kind == "Set" else cell)]
+class Cells:
+    """The reference graph of a flattened payload. A cell's template is the JSON around its references: a list of texts and of
+    numbers of other cells. Templates are made in one depth-first pass without recursion, which also finds the references
+    that lead back, and sizes are summed when a cell's references are done."""
+
+    #: Scalars of more characters are, beyond the budget, written once like objects and arrays.
+    LONG = 100
+
+    def __init__(self, cells: list):
+        self.cells, self.templates, self.sizes = cells, {}, {}
+        root = self._inline(cells[0], False) if isinstance(cells[0], int) and not isinstance(cells[0], bool) else [0]
+        self.root = root[0]
+        if isinstance(self.root, int):
+            self._visit(self.root)
+
+    def _refer(self, k: int) -> str | int:
+        if k in SPECIAL or not 0 <= k < len(self.cells):
+            return _json(SPECIAL.get(k))
+        return k
+
+    def _inline(self, value, cell: bool) -> list:
+        """The template of a value; of a cell's own value, where a name in front says what it is, if `cell`."""
+        if isinstance(value, dict):
+            return self._object({str(k): self._inline(v, False) for k, v in value.items()})
+        if isinstance(value, list):
+            kind = value[0] if value and isinstance(value[0], str) else None
+            if kind in WRAPPERS:
+                return self._inline(value[1], False) if len(value) > 1 else ["null"]
+            if cell and kind == "Date":
+                return [_json(value[1] if len(value) > 1 else "")]
+            if cell and kind == "Map":
+                keys = map(self._key, value[1::2])
+                return self._object({k: self._inline(v, False) for k, v in zip(keys, value[2::2], strict=False) if k is not None})
+            return self._joined("[", [self._inline(v, False) for v in (value[1:] if cell and kind == "Set" else value)], "]")
+        if isinstance(value, int) and not isinstance(value, bool) and not cell:
+            return [self._refer(value)]
+        return [_json(value)]
+
+    def _key(self, value, hops: int = 0) -> str | None:
+        """The key that a value of a Map stands for; none for objects, arrays and references that lead round."""
+        while isinstance(value, int) and not isinstance(value, bool) and hops <= len(self.cells):
+            at, hops = self._refer(value), hops + 1
+            if isinstance(at, str):
+                return at
+            value = self.cells[at]
+            if isinstance(value, list) and len(value) > 1 and isinstance(value[0], str) and value[0] in WRAPPERS:
+                value = value[1]
+            elif isinstance(value, list) and len(value) > 1 and value[0] == "Date":
+                return str(value[1])
+            else:
+                break
+        return None if isinstance(value, dict | list) else value if isinstance(value, str) else _json(value)
+
+    def _object(self, items: dict[str, list]) -> list:
+        return self._joined("{", [[_json(k) + ": ", *v] for k, v in items.items()], "}")
+
+    @staticmethod
+    def _joined(begin: str, items: list[list], end: str) -> list:
+        out = [begin]
+        for n, item in enumerate(items):
+            out += [", ", *item] if n else item
+        return [*out, end]
+
+    def _visit(self, root: int) -> None:
+        self.templates[root] = self._inline(self.cells[root], True)
+        path, open_cells = [(root, 0)], {root}
+        while path:
+            cell, at = path.pop()
+            template = self.templates[cell]
+            while at < len(template):
+                part = template[at]
+                if isinstance(part, int):
+                    if part in open_cells:
+                        template[at] = "null"
+                    elif part not in self.templates:
+                        self.templates[part] = self._inline(self.cells[part], True)
+                        path += [(cell, at + 1), (part, 0)]
+                        open_cells.add(part)
+                        break
+                at += 1
+            else:
+                open_cells.discard(cell)
+                self.sizes[cell] = sum(len(p) if isinstance(p, str) else self.sizes[p] for p in template)
+
+    def text(self, budget: int) -> str:
+        if isinstance(self.root, str):
+            return self.root
+        once, seen, out, left = self.sizes[self.root] > budget, set(), [], [self.root]
+        while left:
+            part = left.pop()
+            if isinstance(part, str):
+                out.append(part)
+            elif part in seen:
+                out.append("null")
+            else:
+                template = self.templates[part]
+                if once and (len(template) > 1 or len(template[0] if isinstance(template[0], str) else "") > self.LONG):
+                    seen.add(part)
+                left += reversed(template)
+        return "".join(out)
+
+
+def _json(value) -> str:
+    return "null" if isinstance(value, float) and not math.isfinite(value) else json.dumps(value, ensure_ascii=False)
 
 
 ITEM = "struct<url: string, headline: string, description: string, datePublished: string, author: struct<name: string>>"
