@@ -24,8 +24,8 @@ def whole(posts: DataFrame) -> DataFrame:
     return posts.withColumns({c: F.lit(None).cast(kind) for c, kind in FIELDS.items() if c not in posts.columns})
 
 
-def merged(sightings: DataFrame, key: str = "post_key") -> DataFrame:
-    """One row a key: flags by OR, numbers by maximum, texts the longest (ties: the newer), others the last filled."""
+def merged(sightings: DataFrame, key: str = "post_key", **more: Column) -> DataFrame:
+    """One row a key: flags by OR, numbers by maximum, texts the longest (ties: the newer), others the last filled; and more."""
     sightings = whole(sightings)
     longest = lambda c: F.max_by(c, F.struct(F.length(clean(F.col(c))), F.col("seq")))
 
@@ -34,20 +34,23 @@ def merged(sightings: DataFrame, key: str = "post_key") -> DataFrame:
         return F.max_by(c, F.when(filled, F.col("seq")))
 
     each = [F.bool_or(c).alias(c) for c in FLAGS] + [F.max(c).alias(c) for c in HIGHEST] + [longest(c).alias(c) for c in LONGEST] + [latest(c).alias(c) for c in LATEST]
-    return sightings.groupBy(key).agg(*each, F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_seen"))
+    return sightings.groupBy(key).agg(*each, F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_seen"), *[c.alias(n) for n, c in more.items()])
 
 
-def upsert(store: DataFrame, live: DataFrame, key: str = "post_key") -> DataFrame:
-    """The merged store; change is new, updated or unchanged. Rows of store come before those of live."""
+def upsert(store: DataFrame, live: DataFrame, key: str = "post_key", unique: bool = False) -> DataFrame:
+    """The merged store; change is new, updated or unchanged. Rows of store come before those of live. unique: store has one row
+    a key, so one aggregate gives both what was and what is."""
     store, live = whole(store), whole(live)
     seen = store.withColumn("_live", F.lit(0)).unionByName(live.withColumn("_live", F.lit(1)), allowMissingColumns=True)
     seen = seen.withColumn("seq", F.struct("_live", "seq"))
     state = [*FLAGS, *HIGHEST, *LONGEST, *LATEST]
-    now = merged(seen, key)
-    before = merged(store, key).select(key, F.struct(*state).alias("_before"))
+    if unique:
+        now = merged(seen, key, _before=F.max(F.when(F.col("_live") == 0, F.struct(*state))))
+    else:
+        now = merged(seen, key).join(merged(store, key).select(key, F.struct(*state).alias("_before")), key, "left")
     same = F.struct(*state).eqNullSafe(F.col("_before"))
     change = F.when(F.col("_before").isNull(), "new").when(same, "unchanged").otherwise("updated")
-    return now.join(before, key, "left").withColumn("change", change).withColumn("seq", F.col("seq.seq")).drop("_before")
+    return now.withColumn("change", change).withColumn("seq", F.col("seq.seq")).drop("_before")
 
 
 def overlay(shared: DataFrame, local: DataFrame, key: str = "post_key") -> DataFrame:

@@ -210,7 +210,7 @@ def upsert_counts(spark, sf_dir):
     seen = known.withColumn("views", F.col("views") + F.col("seq") % 3)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     fresh = pages.select(F.concat(F.lit("page|"), F.col("page_id")).alias("post_key"), (F.col("page_id") + 2_000_000_000).alias("seq"), "url", F.lit("page").alias("source"), F.lit("page").alias("title"))
-    return store.upsert(known, seen.unionByName(fresh, allowMissingColumns=True)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return store.upsert(known, seen.unionByName(fresh, allowMissingColumns=True), unique=True).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 # classification
