@@ -164,6 +164,8 @@ class RunStore:
             fresh = self._write_run(changed.select(self.key, "now.*"), step)
             self.touched["written"] = len(fresh)
             self._commit(version, files | fresh, [*now["dead"], step])
+        for kind in ("batches", "holders"):
+            self._fs.delete(self._path(f"{self.root}/{kind}/{step}"), True)
         return changed.drop("_file")
 
     def compact(self, most_dead: float = 0.3) -> dict[str, int]:

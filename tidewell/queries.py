@@ -400,4 +400,4 @@ def coverage_state(spark, sf_dir):
     return s.select("event_type", coverage.state(F.col("links"), F.col("reported"), F.col("boundary")).alias("state"))
 
 
-from . import more_queries  # noqa: E402, F401  registers its queries here
+from . import more_queries, run_queries  # noqa: E402, F401  register their queries here

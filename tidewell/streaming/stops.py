@@ -98,7 +98,7 @@ class StopRules(StatefulProcessor):
         self.counters = handle.getValueState("counters", COUNTERS)
         self.waiting = handle.getMapState("waiting", "round int", ROUND)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         counters = Counters(*self.counters.get()) if self.counters.exists() else Counters()
         latest, here = 0, {}
         for some in rows:
@@ -128,11 +128,11 @@ class StopRules(StatefulProcessor):
             yield pd.DataFrame([(key[0], counters.rounds, reason)], columns=["run", "rounds", "stop_reason"])
         self.counters.update(astuple(counters))
         for t in list(self.handle.listTimers()):
-            latest = max(latest, t[0] - self.idle_ms)
-            self.handle.deleteTimer(t[0])
+            latest = max(latest, t - self.idle_ms)
+            self.handle.deleteTimer(t)
         self.handle.registerTimer(latest + self.idle_ms)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         counters = Counters(*self.counters.get()) if self.counters.exists() else Counters()
         self.counters.clear()
         self.waiting.clear()
