@@ -5,10 +5,11 @@ Spark's higher-order functions. array_intersect of the two lists of ends has the
 both, sorted together, need no search: an end that is the i-th of its own list and the k-th of all has k - i ends of
 the other list before it, so the token of the other list that it falls into is number k - i. Each different end closes
 one stretch of bytes that lies in one token of each list, and two tokens that overlap share exactly one such stretch:
-these are the links. A sequence over the cuts slices the groups; aggregate over the groups gives the number of links.
+these are the links. Every end knows so whether it is a cut, and the numbers of tokens that have ended at the cuts bound the groups; a
+sequence goes over the tokens of those that have several. (aggregate is not needed: nothing is carried along.)
 
-How often a pair of ids is linked is counted corpus-wide, from one row a document and pair. The counted pairs come
-back by a broadcast where they are few (checked), else by a join that splits common pairs.
+How often a pair of ids is linked is counted corpus-wide. The counted pairs come back by a broadcast where they are few
+(checked), else by a join that splits common pairs.
 
 Defined results: texts that are null or empty, or whose bytes a vocabulary doesn't give back, have no tokens, zeros and
 an empty digest. Special tokens are plain text. Null and repeated doc_ids give a row each; an empty table an empty result.
@@ -30,7 +31,7 @@ from .shared import Scratch, only, read
 from .tokens import BYTE_CHARS, LibraryEncoder, Memo, held, vocabulary
 
 #: Pairs that may be broadcast (about 50 bytes each).
-BROADCAST_PAIRS = 500_000
+BROADCAST_PAIRS = 1_000_000
 ROWS = 200
 
 
@@ -88,26 +89,29 @@ class Pair:
         self.sizes = [np.array([len(x) for x in side.bytes], np.int32) for side in (self.a, self.b)]
 
     def tokens(self, text: str | None) -> list[np.ndarray]:
-        """Ids and ends of both, four arrays."""
+        """Of both, ids, ends and marks: end, side (b: 1) and place of each token in one long, so that marks sort by end."""
         if text:
             data, out = f" {text}".encode(), []
-            for side, sizes, given in ((self.a, self.sizes[0], f" {text}"), (self.b, self.sizes[1], text)):
+            for side, sizes, given, mark in ((self.a, self.sizes[0], f" {text}", 0), (self.b, self.sizes[1], text, SIDE)):
                 ids = np.frombuffer(side(given), "<u4")
                 if b"".join(map(side.bytes.__getitem__, ids.tolist())) != data:
                     break
-                out += [ids.astype(np.int32), np.cumsum(sizes[ids], dtype=np.int32)]
+                ends = np.cumsum(sizes[ids], dtype=np.int64)
+                out += [ids.astype(np.int32), ends.astype(np.int32), ends * END + np.arange(mark, mark + len(ids), dtype=np.int64)]
             else:
                 return out
-        return [np.zeros(0, np.int32)] * 4
+        return [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)] * 2
 
 
-INTS = ArrayType(IntegerType(), containsNull=False)
-TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
-ARROW = pa.schema([("doc_id", pa.int64())] + [pa.field(c, pa.list_(pa.field("element", pa.int32(), False)), False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
+END, SIDE = 1 << 32, 1 << 31
+SIDES = [f"{side}_{what}" for side in "ab" for what in ("ids", "ends", "marks")]
+KINDS = {"ids": (IntegerType(), pa.int32()), "ends": (IntegerType(), pa.int32()), "marks": (LongType(), pa.int64())}
+TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayType(KINDS[c[2:]][0], containsNull=False), False) for c in SIDES])
+ARROW = pa.schema([("doc_id", pa.int64())] + [pa.field(c, pa.list_(pa.field("element", KINDS[c[2:]][1], False)), False) for c in SIDES])
 
 
 def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """doc_id with the ids of a blank and the text in both vocabularies, and the byte offsets where they end."""
+    """doc_id with the tokens of a blank and the text in both vocabularies: ids, byte offsets where they end, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = held(Pair, path_a, path_b)
@@ -115,73 +119,62 @@ def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for i in range(0, batch.num_rows, ROWS):
                 some = batch.slice(i, ROWS)
                 columns = []
-                for arrays in zip(*map(pair.tokens, some.column(1).to_pylist()), strict=True):
+                for arrays, field in zip(zip(*map(pair.tokens, some.column(1).to_pylist()), strict=True), list(ARROW)[1:], strict=True):
                     offsets = np.zeros(len(arrays) + 1, np.int32)
                     np.cumsum([len(x) for x in arrays], out=offsets[1:])
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)), type=ARROW.field(1).type))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)), type=field.type))
                 yield pa.RecordBatch.from_arrays([some.column(0), *columns], schema=ARROW)
 
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 
 
-END, SIDE = 1 << 32, 1 << 31
-
-
-def _sorted_ends(a: str, b: str) -> Column:
-    """end, side (b: 1) and place of all ends in one long each, sorted: of two that tie, a's comes first."""
-    mark = lambda side: lambda e, i: e.cast("long") * END + (i + F.lit(side).cast("long"))
-    return F.sort_array(F.concat(F.transform(a, mark(0)), F.transform(b, mark(SIDE))))
+def alignment(tokens: DataFrame) -> DataFrame:
+    """tokens with cuts (byte offsets), groups (a text of the ids of both between two cuts, as a1,a2|b1) and links (a's id * 65536 +
+    b's id of each pair of overlapping tokens, in order; -1 at each cut). A lambda is evaluated without generated code, so
+    each has few terms; casts, sorting and joining are left to functions that have such code."""
+    marked = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "_marks": F.sort_array(F.concat("a_marks", "b_marks"))})
+    place = lambda x: x.bitwiseAND(F.lit(SIDE - 1)).cast("int")
+    is_a = lambda x: x.bitwiseAND(F.lit(SIDE)) == 0
 
+    def closed(x: Column, k: Column) -> Column:
+        """Whether at this b end an a end has come just before: a cut."""
+        return F.get("a_ends", k - place(x) - 1) == F.shiftright(x, 32)
 
-def alignment(tokens: DataFrame) -> DataFrame:
-    """tokens with cuts (byte offsets), groups (the ids of both between cuts) and links (a's id * 65536 + b's id of each pair of
-    overlapping tokens, in order)."""
-    marked = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "_ends": _sorted_ends("a_ends", "b_ends")})
-    link = lambda a, b: F.get("a_ids", a).cast("long") * 65536 + F.get("b_ids", b)
+    def link(x: Column, k: Column) -> Column:
+        pair = lambda a, b: F.get("a_ids", a).cast("long") * 65536 + F.get("b_ids", b)
+        return F.when(is_a(x), pair(place(x), k - place(x))).when(closed(x, k), -1).otherwise(pair(k - place(x), place(x)))
 
-    def at(x: Column, k: Column) -> Column:
-        """The link that ends here; at the b end of a cut, which an a end has closed already, the ends of both so far, negative."""
-        end, place = F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(SIDE - 1)).cast("int")
-        other = k - place
-        closed = F.get("a_ends", other - 1) == end
-        return F.when(x.bitwiseAND(F.lit(SIDE)) == 0, link(place, other)).when(closed, -(other.cast("long") * END + place + 1)).otherwise(link(other, place))
+    def so_far(x: Column, k: Column) -> Column:
+        """At a cut, how many tokens of a (in the high half) and of b have ended; null elsewhere."""
+        return F.when(~is_a(x), F.when(closed(x, k), (k - place(x)).cast("long") * END + place(x) + 1))
 
-    marked = marked.withColumn("_each", F.transform("_ends", at))
-    bounds = F.transform(F.filter("_each", lambda x: x < 0), lambda x: -x)
-    marked = marked.withColumns({"links": F.filter("_each", lambda x: x >= 0), "_bounds": F.concat(F.array(F.lit(0).cast("long")), bounds)})
+    each = marked.withColumns({"links": F.transform("_marks", link), "_upto": F.array_compact(F.transform("_marks", so_far)), "_a": F.col("a_ids").cast("array<string>"), "_b": F.col("b_ids").cast("array<string>")})
+    each = each.withColumn("_from", F.concat(F.array(F.lit(0).cast("long")), "_upto"))
+    high, low = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit(END - 1)).cast("int")
 
-    def group(c: Column) -> Column:
-        lo, hi = F.get("_bounds", c - 1), F.get("_bounds", c)
-        a0, b0 = F.shiftright(lo, 32).cast("int"), lo.bitwiseAND(F.lit(END - 1)).cast("int")
-        a1, b1 = F.shiftright(hi, 32).cast("int"), hi.bitwiseAND(F.lit(END - 1)).cast("int")
-        return F.struct(F.slice("a_ids", a0 + 1, a1 - a0).alias("a"), F.slice("b_ids", b0 + 1, b1 - b0).alias("b"))
+    def group(to: Column, c: Column) -> Column:
+        """Most groups have one token of each."""
+        begin = F.get("_from", c)
+        some = lambda ids, lo, hi: F.array_join(F.transform(F.sequence(lo, hi - 1), lambda i: F.get(ids, i)), ",")
+        one = F.concat(F.get("_a", high(begin)), F.lit("|"), F.get("_b", low(begin)))
+        return F.when(to - begin == END + 1, one).otherwise(F.concat(some("_a", high(begin), high(to)), F.lit("|"), some("_b", low(begin), low(to))))
 
-    groups = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda c: c)
-    groups = F.transform(F.slice(groups, 2, F.size("cuts")), group)
-    return marked.withColumn("groups", groups).select(*tokens.columns, "cuts", "groups", "links")
+    return each.withColumn("groups", F.transform("_upto", group)).select(*tokens.columns, "cuts", "groups", "links")
 
 
 def digests(aligned: DataFrame) -> DataFrame:
-    """A row a document: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and pairs, each different link with how often the
-    document has it."""
-    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    written = F.array_join(F.transform("groups", lambda g: F.concat(text(g["a"]), F.lit("|"), text(g["b"]))), ";")
-    n_links = F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + F.size(g["a"]) + F.size(g["b"]) - 1)
+    """A row a document: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and its links as they come."""
     long = lambda c: F.size(c).cast("long")
-    row = aligned.select(
-        "doc_id", long("a_ids").alias("n_a"), long("b_ids").alias("n_b"), long("cuts").alias("n_groups"), n_links.alias("n_links"),
-        F.when(F.size("groups") > 0, F.sha2(written, 256)).otherwise("").alias("groups_sha256"), F.sort_array("links").alias("_s"),
+    return aligned.select(
+        "doc_id", long("a_ids").alias("n_a"), long("b_ids").alias("n_b"), long("cuts").alias("n_groups"), (long("links") - long("cuts")).alias("n_links"),
+        F.when(F.size("cuts") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("").alias("groups_sha256"), "links",
     )
-    # the last place of each run of equal links
-    ends = F.filter(F.transform("_s", lambda x, k: F.when(x == F.get("_s", k + 1), -1).otherwise(k)), lambda k: k >= 0)
-    row = row.withColumn("_e", ends)
-    pairs = F.transform("_e", lambda e, c: F.struct(F.get("_s", e).alias("pair"), (e - F.coalesce(F.get("_e", c - 1), F.lit(-1))).alias("n")))
-    return row.withColumn("pairs", pairs).drop("_s", "_e")
 
 
 def pair_counts(documents: DataFrame) -> DataFrame:
-    """pair, count, best (no pair of its b id has more) over all documents. A b id has at most as many pairs as a has ids."""
-    counts = documents.select(F.explode("pairs").alias("p")).groupBy(F.col("p.pair").alias("pair")).agg(F.sum("p.n").alias("count"))
+    """pair, count, best (no pair of its b id has more) over all documents: counted in each task first. A b id has at most as many
+    pairs as a has ids."""
+    counts = documents.select(F.explode("links").alias("pair")).filter("pair >= 0").groupBy("pair").agg(F.count(F.lit(1)).alias("count"))
     most = counts.groupBy(F.col("pair").bitwiseAND(F.lit(65535)).alias("b")).agg(F.max("count").alias("most"))
     joined = counts.withColumn("b", F.col("pair").bitwiseAND(F.lit(65535))).join(most, "b")
     return joined.select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
@@ -192,12 +185,14 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "alignment")
     rows = scratch.table(digests(alignment(token_ends(docs, path_a, path_b))).withColumn("_row", F.monotonically_increasing_id()), "documents")
     counts = scratch.table(pair_counts(rows), "pairs")
-    known = F.broadcast(counts) if counts.count() <= BROADCAST_PAIRS else counts
-    names = [c for c in rows.columns if c != "pairs"]
-    each = rows.select(*names, F.explode_outer("pairs").alias("p")).select(*names, F.col("p.pair").alias("pair"), F.col("p.n").alias("n"))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    summed = each.join(known, "pair", "left").groupBy(*names).agg(total(F.when(F.col("best"), F.col("n"))).alias("n_best"), total(F.col("n") * F.col("count")).alias("count_sum"))
-    return summed.drop("_row")
+    each = rows.select("_row", F.explode("links").alias("pair")).filter("pair >= 0")
+    if counts.count() <= BROADCAST_PAIRS:
+        each, n = each.join(F.broadcast(counts), "pair"), F.lit(1)
+    else:  # one row a document and pair; a join splits common pairs
+        each, n = each.groupBy("_row", "pair").agg(F.count(F.lit(1)).alias("n")).join(counts, "pair"), F.col("n")
+    summed = each.groupBy("_row").agg(F.sum(F.when(F.col("best"), n)).alias("n_best"), F.sum(n * F.col("count")).alias("count_sum"))
+    total = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.join(summed, "_row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", total("n_best"), total("count_sum"), "groups_sha256")
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import counters, validate
+from .operators.rule_table import rule_table_counts as by_rule_table
 from .operators.runs import RunStore
 from .operators.scan import Scan
-from .queries import FIRST, LAST, MERGED, SIGHTED, query, sighted
+from .queries import FIRST, LAST, MERGED, SIGHTED, _sql_folded, query, sighted
 from .scratch import shared_folder, written
 from .sources import payloads
 from .streaming import stops
@@ -135,3 +136,15 @@ def flattened_payloads(spark, sf_dir):
     items = docs.select("doc_id", F.posexplode(payloads.found_lists(payloads.resolve_references(flat), "vecFeed")).alias("place", "item"))
     author = F.coalesce(F.get_json_object("item", "$.author.name"), F.get_json_object("item", "$.author"))
     return items.select("doc_id", "place", F.get_json_object("item", "$.text").alias("text"), author.alias("author"))
+
+
+# a rule table: each text of benchmark and its first sentence, as the two aliases of its item
+@query(f"""WITH r AS (SELECT 'item ' || item_id AS label, {_sql_folded('text')} AS a, {_sql_folded("split_part(text, '. ', 1)")} || '.' AS b FROM benchmark), d AS (SELECT doc_id, {_sql_folded('text')} AS t FROM documents),
+c AS (SELECT doc_id, label, a, b, t, (length(t) - length(replace(t, a, ''))) // length(a) AS n FROM d, r WHERE contains(t, a) OR contains(t, b)),
+m AS (SELECT doc_id, label, n + CASE WHEN a = b THEN 0 ELSE (length(replace(t, a, chr(1))) - length(replace(replace(t, a, chr(1)), b, ''))) // length(b) END AS n FROM c) SELECT doc_id, label, CAST(n AS INT) AS n FROM m WHERE n > 0""")
+def rule_table_counts(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    label = F.concat(F.lit("item "), "item_id").alias("label")
+    sentence = F.concat(F.split_part("text", F.lit(". "), F.lit(1)), F.lit("."))
+    rules = read("benchmark").select(label, F.explode(F.array(F.struct(F.col("text").alias("alias"), F.lit(0).alias("place")), F.struct(sentence.alias("alias"), F.lit(1).alias("place")))).alias("x")).select("label", "x.*")
+    return by_rule_table(read("documents"), rules, "doc_id", F.col("text"))
