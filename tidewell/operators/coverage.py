@@ -36,7 +36,8 @@ def rounds(log: DataFrame, run: str, key: str, order: str, number: str) -> DataF
 
 
 def converged(per_round: DataFrame, run: str, number: str, least: int = 30, window: int = 10) -> DataFrame:
-    """Whether so many rounds are over and the last ones brought nothing new."""
+    """Whether so many rounds are over and the last ones brought nothing new. A run has a few hundred rounds at most, as its own
+    stop rules end it; longer orders are for operators.scan."""
     w = Window.partitionBy(run).orderBy(number)
     recent = F.sum("new").over(w.rowsBetween(-(window - 1), 0))
     return per_round.withColumns({"rounds": F.row_number().over(w), "recent_new": recent}).withColumn("converged", (F.col("rounds") >= least) & (F.col("recent_new") == 0))
@@ -47,7 +48,8 @@ def state(links: Column, reported: Column, boundary: Column) -> Column:
 
 
 def nearest_previous(rows: DataFrame, group: str, order: str, value: Column, back: int) -> Column:
-    """The last non-null value among so many rows before."""
+    """The last non-null value among so many rows before, for short groups (a page's lines, a run's rounds). Where a group may hold
+    a good part of all rows, operators.scan has the same by Scan.framed()."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(-back, -1))
 
 

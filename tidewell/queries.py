@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text
 from .operators import analytics, coverage, rules, store, translate, validate
+from .operators.scan import Scan
 from .plans import report
 from .sources import pages, payloads
 from .sources.synthetic import posts
@@ -356,14 +357,15 @@ def page_parse(spark, sf_dir):
 @query("WITH l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, turn FROM l WHERE role IS DISTINCT FROM before")
 def line_dedupe(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    before = coverage.nearest_previous(c, "conv_id", "turn", F.col("role"), 1)
-    return c.withColumn("_before", before).filter(~F.col("role").eqNullSafe(F.col("_before"))).select("conv_id", "turn")
+    c = Scan(c.select("conv_id", "turn", "role"), ["conv_id"], ["turn"]).framed(1, before=lambda w: F.last("role").over(w.rowsBetween(-1, -1)))
+    return c.filter(~F.col("role").eqNullSafe(F.col("before"))).select("conv_id", "turn")
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS user_turn FROM conversations")
 def nearest_previous(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", coverage.nearest_previous(c, "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), 5).alias("user_turn"))
+    turns = Scan(c.select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("user")), ["conv_id"], ["turn"])
+    return turns.framed(5, user_turn=lambda w: F.last("user", ignorenulls=True).over(w.rowsBetween(-5, -1))).select("conv_id", "turn", "user_turn")
 
 
 # coverage: a run is an event type, a round an hour, a key a user
