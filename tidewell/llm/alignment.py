@@ -33,6 +33,8 @@ from .tokens import BYTE_CHARS, LibraryEncoder, Memo, held, vocabulary
 #: Pairs that may be broadcast (about 50 bytes each).
 BROADCAST_PAIRS = 1_000_000
 ROWS = 200
+#: Entries of each memo: a worker holds two, beside two vocabularies.
+MEMO = 150_000
 
 
 class ByteLevel(LibraryEncoder):
@@ -41,7 +43,7 @@ class ByteLevel(LibraryEncoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.tokenizer.encode_special_tokens = True
-        self.special = []
+        self.special, self.memo = [], Memo(self.chunk, MEMO)
         of = {c: b for b, c in BYTE_CHARS.items()}
         entries = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes = [b""] * (max(entries.values()) + 1)
@@ -63,7 +65,7 @@ class Pieces:
         cut = not any(re.search("[^▁]▁", p) for p in pieces) and self.model.id_to_piece(self.blank) == "▁"
         lines = cut and not any("\n" in p for p in pieces) and self.model.encode("\n")[:1] == [self.blank]
         self.parts = re.compile(r" +[^ \n]*|\n[^ \n]*" if lines else r" +[^ ]*").findall if cut else None
-        self.memo = Memo(self.part)
+        self.memo = Memo(self.part, MEMO)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, num_threads=1), "<u4").tobytes()
