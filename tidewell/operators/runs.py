@@ -71,7 +71,7 @@ class RunStore:
     def _rows(self, files: list[str]) -> DataFrame:
         data = self.spark.read.parquet(*[f"{self.root}/runs/{f}" for f in files])
         name = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+/[^/]+)$", 1)
-        return data.select("*", name.alias("_file"))
+        return data.select(self.key, "seq", *STATE, name.alias("_file"))
 
     def _live(self, files: dict[str, list], dead: DataFrame | None) -> DataFrame:
         """The rows of the files that no newer row replaces. Only files with such rows meet the list of them."""
@@ -90,10 +90,9 @@ class RunStore:
         now = self.snapshot(version)
         return self._live(now["files"], self._dead(now)).drop("_file") if now["files"] else None
 
-    def _write_run(self, rows: DataFrame, step: str) -> dict[str, list]:
-        """Writes rows in order of key, then the summary and the bitmaps of the files."""
-        rows = rows.select(self.key, "seq", *STATE)
-        n = max(1, -(-rows.count() // self.rows_per_file))
+    def _write_run(self, rows: DataFrame, step: str, most: int) -> dict[str, list]:
+        """Writes rows, at most `most`, in order of key, then the summary and the bitmaps of the files."""
+        n = max(1, -(-most // self.rows_per_file))
         rows.repartitionByRange(n, self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.root}/runs/{step}")
         keys = self.spark.read.parquet(f"{self.root}/runs/{step}").select(self.key, F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+/[^/]+)$", 1).alias("_file"))
         each = keys.groupBy("_file").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(F.lit(1)).alias("n"))
@@ -129,44 +128,49 @@ class RunStore:
     def upsert(self, live: DataFrame) -> DataFrame:
         """Merges live (key, seq and fields, several rows a key or none) into the store as a new version. Returns the rows that
         changed: key, change (new or updated), before and now, structs of seq and the fields. A sighting that changes no field
-        is not written, so its row keeps its seq. A batch without changes makes no version. `touched` counts files."""
+        is not written, so its row keeps its seq. A batch without changes makes no version. `touched` counts files. What was is read from the files that held it:
+        use the result before the next expire()."""
         now = self.snapshot()
         version = now["version"] + 1
-        step = f"{version}-{uuid.uuid4().hex[:12]}"
-        folder = f"{self.root}/changes/{step}"
-        batch = f"{self.root}/batches/{step}"
-        merged(live, self.key).drop("n_seen").write.mode("overwrite").parquet(batch)
-        batch = self.spark.read.parquet(batch)
-        known, files = None, {}
+        step, known, touched = f"{version}-{uuid.uuid4().hex[:12]}", None, {}
+        batch, most = merged(live, self.key).drop("n_seen"), None
         if now["files"]:
-            self.holders(batch, now["files"]).write.mode("overwrite").parquet(f"{self.root}/holders/{step}")
+            batch.write.parquet(f"{self.root}/batches/{step}")
+            batch = self.spark.read.parquet(f"{self.root}/batches/{step}")
+            most = batch.count()
+            self.holders(batch, now["files"]).write.parquet(f"{self.root}/holders/{step}")
             holders = self.spark.read.parquet(f"{self.root}/holders/{step}")
-            files = {r[0]: now["files"][r[0]] for r in holders.select("_file").distinct().collect()}  # a row a file
-            if files:
-                known = self._live(files, self._dead(now)).join(batch.select(self.key), self.key, "left_semi")
-        self.touched = {"read": len(files), "of": len(now["files"])}
-        struct = F.struct("seq", *STATE)
+            touched = {r[0]: now["files"][r[0]] for r in holders.select("_file").distinct().collect()}  # a row a file
+            if touched:
+                known = self._live(touched, self._dead(now)).join(batch.select(self.key), self.key, "left_semi")
+        self.touched = {"read": len(touched), "of": len(now["files"]), "written": 0}
         if known is None:
-            changed = batch.select(self.key, F.lit("new").alias("change"), F.lit(None).cast("string").alias("_file"), F.lit(None).cast(batch.select(struct.alias("x")).schema["x"].dataType).alias("before"), struct.alias("now"))
+            changed = batch.withColumns({"change": F.lit("new"), "replaces": F.lit(None).cast("string")})
         else:
-            after = upsert(known.drop("_file"), batch, self.key, unique=True).filter("change <> 'unchanged'").select(self.key, "change", struct.alias("now"))
-            changed = after.join(known.select(self.key, "_file", struct.alias("before")), self.key, "left").select(self.key, "change", "_file", "before", "now")
-        changed.write.mode("overwrite").parquet(folder)
-        changed = self.spark.read.schema(changed.schema).parquet(folder)
-        files = dict(now["files"])
-        if changed.take(1):
-            gone = changed.filter("_file is not null").select("_file", self.key)
-            gone.write.mode("overwrite").parquet(f"{self.root}/dead/{step}")
-            for r in gone.groupBy("_file").count().collect():  # a row a file
-                v, n, dead = files[r[0]]
-                files[r[0]] = [v, n, dead + r[1]]
+            changed = upsert(known.drop("_file"), batch, self.key, unique=True).filter("change <> 'unchanged'")
+            changed = changed.join(known.select(self.key, F.col("_file").alias("replaces")), self.key, "left")
+        fresh = self._write_run(changed.select(self.key, "seq", *STATE, "change", "replaces"), step, live.count() if most is None else most)
+        run = self.spark.read.parquet(f"{self.root}/runs/{step}")
+        files, dead = dict(now["files"]), list(now["dead"])
+        if touched:
+            gone = run.filter("replaces is not null").select(F.col("replaces").alias("_file"), self.key)
+            gone.write.parquet(f"{self.root}/dead/{step}")
+            for r in self.spark.read.parquet(f"{self.root}/dead/{step}").groupBy("_file").count().collect():  # a row a file
+                v, n, struck = files[r[0]]
+                files[r[0]] = [v, n, struck + r[1]]
             files = {f: x for f, x in files.items() if x[2] < x[1]}  # a file without a living row is no longer named
-            fresh = self._write_run(changed.select(self.key, "now.*"), step)
+            dead.append(step)
+        if fresh:
             self.touched["written"] = len(fresh)
-            self._commit(version, files | fresh, [*now["dead"], step])
+            self._commit(version, files | fresh, dead)
         for kind in ("batches", "holders"):
             self._fs.delete(self._path(f"{self.root}/{kind}/{step}"), True)
-        return changed.drop("_file")
+        state = F.struct("seq", *STATE)
+        out = run.select(self.key, "change", state.alias("now"))
+        if not touched:
+            return out.select(self.key, "change", F.lit(None).cast(out.schema["now"].dataType).alias("before"), "now")
+        before = self._live(touched, self._dead(now)).select(self.key, state.alias("before"))
+        return out.join(before, self.key, "left").select(self.key, "change", "before", "now")
 
     def compact(self, most_dead: float = 0.3) -> dict[str, int]:
         """Rewrites the files of small runs with the files that their ranges overlap, and files with more than most_dead struck
@@ -193,7 +197,8 @@ class RunStore:
         if len(chosen) < 2 and not any(x[2] for x in chosen.values()):
             return {"rewritten": 0, "carried": len(files), "written": 0}
         version = now["version"] + 1
-        fresh = self._write_run(self._live(chosen, self._dead(now)), f"{version}-{uuid.uuid4().hex[:12]}")
+        rows = self._live(chosen, self._dead(now)).drop("_file").withColumns({"change": F.lit("compacted"), "replaces": F.lit(None).cast("string")})
+        fresh = self._write_run(rows, f"{version}-{uuid.uuid4().hex[:12]}", sum(x[1] - x[2] for x in chosen.values()))
         carried = {f: x for f, x in files.items() if f not in chosen}
         struck, dead = [f for f, x in carried.items() if x[2]], self._dead(now)
         still = dead.filter(F.col("_file").isin(struck)).select(F.regexp_extract(F.col("_metadata.file_path"), r"/dead/([^/]+)/", 1).alias("v")).distinct() if struck else None
@@ -201,14 +206,13 @@ class RunStore:
         return {"rewritten": len(chosen), "carried": len(files) - len(chosen), "written": len(fresh)}
 
     def expire(self, keep: int = 2) -> list[int]:
-        """Removes all snapshots but the newest `keep`, and what no kept one names (what upserts returned, too, and what dead
-        writers left); returns the versions that are left."""
+        """Removes all snapshots but the newest `keep`, and what no kept one names (what dead writers left, too); returns the versions that are left."""
         known = self.versions()
         for v in known[:-keep]:
             self._fs.delete(self._path(f"{self.root}/snapshots/{v}.json"), False)
         kept = [self.snapshot(v) for v in known[-keep:]]
         named = {x[0] for k in kept for x in k["files"].values()} | {v for k in kept for v in k["dead"]}
-        for kind in ("runs", "summary", "blooms", "dead", "changes", "batches", "holders"):
+        for kind in ("runs", "summary", "blooms", "dead", "batches", "holders"):
             at = self._path(f"{self.root}/{kind}")
             for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
                 name = s.getPath().getName()

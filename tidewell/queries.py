@@ -183,7 +183,11 @@ MERGED = """SELECT post_key, bool_or(is_official) AS is_official, bool_or(is_cam
 
 
 def sighted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    first = posts(spark, sf_dir).withColumns({"post_key": F.lower("title"), "author": F.concat(F.lit("a"), F.col("seq") % 7), "source_section": F.concat(F.lit("s"), F.col("seq") % 3), "published_at_source": F.lit("first"), "content_scope": F.lit("short"), "source_note": F.lit("note")})
+    return sighted_of(posts(spark, sf_dir))
+
+
+def sighted_of(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = first.withColumns({"post_key": F.lower("title"), "author": F.concat(F.lit("a"), F.col("seq") % 7), "source_section": F.concat(F.lit("s"), F.col("seq") % 3), "published_at_source": F.lit("first"), "content_scope": F.lit("short"), "source_note": F.lit("note")})
     again = first.withColumns({"author": F.when(F.col("seq") % 2 == 0, "b").otherwise(""), "source_section": F.lit(None).cast("string"), "published_at_source": F.lit("again"), "content_scope": F.lit("longer"), "source_note": F.lit("n"), "source": F.lit(""), "title": F.concat("title", F.lit(" ")), "published_at": F.lit(None).cast("date"), "views": F.col("views") + F.col("seq") % 3, "is_low_signal": F.lit(False), "is_campaign": F.lit(False), "is_official": F.col("seq") % 2 == 0})
     return first, again.withColumn("seq", F.col("seq") + 1_000_000_000)
 

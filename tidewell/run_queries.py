@@ -11,10 +11,12 @@ from .operators import counters, validate
 from .operators.rule_table import rule_table_counts as by_rule_table
 from .operators.runs import RunStore
 from .operators.scan import Scan
-from .queries import FIRST, LAST, MERGED, SIGHTED, _sql_folded, query, sighted
+from .queries import FIRST, LAST, MERGED, SIGHTED, _sql_folded, query, sighted_of as sighted
 from .scratch import shared_folder, written
 from .sources import payloads
+from .sources.synthetic import posts
 from .streaming import stops
+from .streaming.translations import TranslationQueue
 
 STORED = ["post_key", "is_official", "is_campaign", "is_low_signal", "views", "comments", "title", "original_text", "url", "source", "published_at", "author", "source_section", "published_at_source", "content_scope", "source_note"]
 
@@ -25,7 +27,8 @@ def _period():
 
 # the store: first sightings of two thirds of the documents; the others with a fifth of the second sightings; the rest of these
 def arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    first, again = sighted(spark, sf_dir)
+    """The posts are written once, as a reader would leave them."""
+    first, again = sighted(written(posts(spark, sf_dir), "posts"))
     return [first.filter("seq % 3 <> 0"), first.filter("seq % 3 = 0").unionByName(again.filter("seq % 5 = 0")), again.filter("seq % 5 <> 0")]
 
 
@@ -148,3 +151,21 @@ def rule_table_counts(spark, sf_dir):
     sentence = F.concat(F.split_part("text", F.lit(". "), F.lit(1)), F.lit("."))
     rules = read("benchmark").select(label, F.explode(F.array(F.struct(F.col("text").alias("alias"), F.lit(0).alias("place")), F.struct(sentence.alias("alias"), F.lit(1).alias("place")))).alias("x")).select("label", "x.*")
     return by_rule_table(read("documents"), rules, "doc_id", F.col("text"))
+
+
+# translations: lines of the documents; the stand-in translator writes E for e and fails on some lengths
+@query("WITH l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS chunk FROM documents) SELECT chunk, trim(replace(chunk, 'e', 'E'), ' ' || chr(9) || chr(13)) AS translated FROM l WHERE length(chunk) % 7 <> 3 AND trim(chunk, ' ') <> '' AND trim(chunk, ' ' || chr(9) || chr(13)) <> ''")
+def translations_stream(spark, sf_dir):
+    """The lines of all documents as a stream of several batches; a line that many batches have is sent once."""
+
+    def send(texts):
+        return [None if len(t) % 7 == 3 else t.replace("e", "E") for t in texts]
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = f"{shared_folder(spark)}/translations-{uuid.uuid4().hex}"
+    lines = docs.select(F.posexplode(F.split("text", "\n")).alias("pos", "chunk"), F.col("doc_id").alias("seq")).select("chunk", "seq", "pos")
+    lines.repartition(4).write.parquet(f"{root}/lines")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/lines")
+    queue = TranslationQueue(spark, root, send, "run", lanes=32, failures=1_000_000_000)
+    queue.start(source, f"{root}/checkpoint").awaitTermination()
+    return queue.cache()
