@@ -13,6 +13,14 @@ from tidewell.scratch import written
 PERIOD = (datetime.date(2024, 1, 5), datetime.date(2024, 1, 20))
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small jobs: two partitions are enough."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def batch_of(spark, rows):
     posts = spark.createDataFrame(rows, "post_key string, seq long, source string, title string, original_text string, url string, published_at date, views long, is_campaign boolean, is_low_signal boolean")
     return store.whole(posts)

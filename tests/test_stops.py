@@ -11,6 +11,14 @@ from tidewell.streaming.stops import NAMES, ROCKSDB, Board, Feed, stops
 DAY = datetime.datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small jobs: two partitions are enough."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def plain_board(rounds, b):
     old = stale = bottoms = 0
     for n, (seconds, error, posts, new, _, tail, moved) in enumerate(rounds):

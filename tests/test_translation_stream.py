@@ -2,9 +2,19 @@
 
 import random
 
+import pytest
+
 from tidewell.streaming.translations import TranslationQueue, requests
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small jobs: two partitions are enough."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def plain_requests(sizes, most, chars):
     out, now = [], []
     for n in sizes:
