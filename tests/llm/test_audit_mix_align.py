@@ -240,7 +240,7 @@ def held_against(found, want):
 
 def test_alignment(spark, odd_rows):
     rows = [*odd_rows, *[(600 + k, t, "s") for k, t in enumerate(BLANKS)], *[(800 + k, f"tail {t} end", "s") for k, t in enumerate(BLANKS)]]
-    docs = docs_of(spark, [(*r, 1, "p", 2, "t") for r in rows])
+    docs = docs_of(spark, [(*r, 1, "p", 2, "t") for r in rows]).repartition(2)
     found = alignment.aligned_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     held_against(found, plain_alignment(rows))
 
@@ -251,7 +251,7 @@ def test_alignment_random(spark):
     r = random.Random(13)
     marks = [" ", "  ", "\n", "\t", "a", "the", "ing", "é", "▁", "日", "🙂", "<|endoftext|>", "<s>", "1", "2024", "'s", " ", "　", "ß", "Ω", "\r", ".", "...", "x_y", "́"]
     rows = [(k, "".join(r.choice(marks) for _ in range(r.randrange(0, 40)))) for k in range(1500)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     held_against(alignment.aligned_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")), plain_alignment(rows))
 
 
