@@ -273,6 +273,15 @@ def test_alignment_outputs(spark):
     assert found[3]["groups"] == found[3]["links"] == [] and len(found[2]["a_ids"]) > 12000
 
 
+def test_portions():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(500)), "text": [None if k % 7 == 0 else "x" * (700_000 if k in (3, 4, 30, 31) else 5) for k in range(500)]})
+    some = list(alignment.portions(batch))
+    assert pa.Table.from_batches(some).to_pydict() == batch.to_pydict() and max(b.num_rows for b in some) == 200
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 1_000_000 for b in some) and list(alignment.portions(batch.slice(0, 0))) == []
+
+
 def test_alignment_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, links int")
     assert alignment.aligned_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).collect() == []

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -32,7 +33,8 @@ from .tokens import BYTE_CHARS, LibraryEncoder, Memo, held, vocabulary
 
 #: Pairs that may be broadcast (about 50 bytes each).
 BROADCAST_PAIRS = 1_000_000
-ROWS = 200
+#: Rows and bytes of text that are tokenised before they are handed on; a text that is longer goes alone.
+ROWS, BYTES = 200, 1_000_000
 #: Entries of each memo: a worker holds two, beside two vocabularies.
 MEMO = 150_000
 
@@ -88,6 +90,8 @@ class Pair:
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        if len(self.b.bytes) > 65536:
+            raise ValueError("ids of the second vocabulary must fit in 16 bits")
         self.sizes = [np.array([len(x) for x in side.bytes], np.int32) for side in (self.a, self.b)]
 
     def tokens(self, text: str | None) -> list[np.ndarray]:
@@ -112,14 +116,25 @@ TOKENS = StructType([StructField("doc_id", LongType())] + [StructField(c, ArrayT
 ARROW = pa.schema([("doc_id", pa.int64())] + [pa.field(c, pa.list_(pa.field("element", KINDS[c[2:]][1], False)), False) for c in SIDES])
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of doc_id and text in slices of at most ROWS rows and BYTES bytes, or one row."""
+    sizes, begin, total = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and (i - begin == ROWS or total + n > BYTES):
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id with the tokens of a blank and the text in both vocabularies: ids, byte offsets where they end, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = held(Pair, path_a, path_b)
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                some = batch.slice(i, ROWS)
+            for some in portions(batch):
                 columns = []
                 for arrays, field in zip(zip(*map(pair.tokens, some.column(1).to_pylist()), strict=True), list(ARROW)[1:], strict=True):
                     offsets = np.zeros(len(arrays) + 1, np.int32)
