@@ -9,8 +9,11 @@ text: per label longest first, ties by place, nothing twice. Aliases with a q-gr
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -23,10 +26,30 @@ Q = 4
 WHOLE = re.compile(r"[a-z0-9_+\- ]+")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _grams(texts: pd.Series, sizes: pd.Series) -> pd.Series:
-    """The different substrings of a text of the given sizes."""
-    return pd.Series([list({t[i : i + q] for q in s for i in range(len(t) - q + 1)}) if t else [] for t, s in zip(texts, sizes, strict=True)])
+#: Q-grams that are handed on at a time.
+PORTION = 50_000
+
+
+def _grams(texts: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """key, gram: the different substrings of each text of the given sizes. A portion of rows goes on before the next is made."""
+    kind = dict(texts.dtypes)[key]
+    names = pa.schema([(key, pa.string() if kind == "string" else pa.int64()), ("gram", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, grams = [], []
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                t = t.as_py()
+                some = {t[i : i + q] for q in sizes for i in range(len(t) - q + 1)}
+                keys += [k.as_py()] * len(some)
+                grams += some
+                if len(keys) >= PORTION:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, names.field(0).type), pa.array(grams)], schema=names)
+                    keys, grams = [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, names.field(0).type), pa.array(grams)], schema=names)
+
+    return texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, gram string")
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("label", StringType()), StructField("n", IntegerType())])))
@@ -59,9 +82,12 @@ def rule_table_counts(posts: DataFrame, rules: DataFrame, key: str, text: Column
     texts = written(posts.select(F.col(key), fold(text).alias("t")).filter("t <> ''").withColumn("row", F.monotonically_increasing_id()), "rule-texts")
     aliases = rules.select("label", fold("alias").alias("alias"), "place").filter("label is not null and alias <> ''").groupBy("label", "alias").agg(F.min("place").alias("place"))
     aliases = written(aliases.withColumn("size", F.least(F.length("alias"), F.lit(q))), "rule-aliases")
-    sizes = F.array(*[F.lit(s) for s in sorted(r[0] for r in aliases.select("size").distinct().collect())] or [F.lit(q)])  # at most q
-    inside = aliases.select("alias", F.explode(_grams("alias", F.array("size"))).alias("gram")).distinct()
-    each = texts.select("row", F.explode(_grams("t", sizes)).alias("gram"))
+    sizes = sorted(r[0] for r in aliases.select("size").distinct().collect())  # at most q
+    inside = [_grams(aliases.filter(F.col("size") == n).select("alias").distinct().withColumn("t", F.col("alias")), "alias", "t", [n]) for n in sizes]
+    if not inside:
+        return posts.select(key).limit(0).withColumns({"label": F.lit("").cast("string"), "n": F.lit(0)})
+    inside = reduce(DataFrame.unionByName, inside)
+    each = _grams(texts, "row", "t", sizes)
     # how many texts have each q-gram of the rules: summed in each task first
     counts = each.join(inside.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     filed = inside.join(counts, "gram", "left").groupBy("alias").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
