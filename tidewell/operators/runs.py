@@ -90,10 +90,13 @@ class RunStore:
         now = self.snapshot(version)
         return self._live(now["files"], self._dead(now)).drop("_file") if now["files"] else None
 
-    def _write_run(self, rows: DataFrame, step: str, most: int) -> dict[str, list]:
-        """Writes rows, at most `most`, in order of key, then the summary and the bitmaps of the files."""
-        n = max(1, -(-most // self.rows_per_file))
-        rows.repartitionByRange(n, self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.root}/runs/{step}")
+    def _files(self, rows: int) -> int:
+        return max(1, -(-rows // self.rows_per_file))
+
+    def _write_run(self, rows: DataFrame, step: str, most: int | None) -> dict[str, list]:
+        """Writes rows, at most `most` (None: they lie in ranges already), in order of key, then the summary and the bitmaps of the files."""
+        rows = rows if most is None else rows.repartitionByRange(self._files(most), self.key)
+        rows.sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.root}/runs/{step}")
         keys = self.spark.read.parquet(f"{self.root}/runs/{step}").select(self.key, F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+/[^/]+)$", 1).alias("_file"))
         each = keys.groupBy("_file").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(F.lit(1)).alias("n"))
         each.write.mode("overwrite").parquet(f"{self.root}/summary/{step}")
@@ -147,9 +150,9 @@ class RunStore:
         if known is None:
             changed = batch.withColumns({"change": F.lit("new"), "replaces": F.lit(None).cast("string")})
         else:
-            changed = upsert(known.drop("_file"), batch, self.key, unique=True).filter("change <> 'unchanged'")
-            changed = changed.join(known.select(self.key, F.col("_file").alias("replaces")), self.key, "left")
-        fresh = self._write_run(changed.select(self.key, "seq", *STATE, "change", "replaces"), step, live.count() if most is None else most)
+            changed = upsert(known, batch, self.key, unique=True, ranges=self._files(most), replaces=F.max("_file")).filter("change <> 'unchanged'")
+        changed = changed.select(self.key, "seq", *STATE, "change", "replaces")
+        fresh = self._write_run(changed, step, None if known is not None else live.count() if most is None else most)
         run = self.spark.read.parquet(f"{self.root}/runs/{step}")
         files, dead = dict(now["files"]), list(now["dead"])
         if touched:

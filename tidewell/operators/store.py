@@ -37,15 +37,18 @@ def merged(sightings: DataFrame, key: str = "post_key", **more: Column) -> DataF
     return sightings.groupBy(key).agg(*each, F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_seen"), *[c.alias(n) for n, c in more.items()])
 
 
-def upsert(store: DataFrame, live: DataFrame, key: str = "post_key", unique: bool = False) -> DataFrame:
+def upsert(store: DataFrame, live: DataFrame, key: str = "post_key", unique: bool = False, ranges: int | None = None, **more: Column) -> DataFrame:
     """The merged store; change is new, updated or unchanged. Rows of store come before those of live. unique: store has one row
-    a key, so one aggregate gives both what was and what is."""
+    a key, so one aggregate gives both what was and what is, and more; with ranges, live has one row a key, too, and the result
+    lies in so many ranges of keys, by the same exchange."""
     store, live = whole(store), whole(live)
     seen = store.withColumn("_live", F.lit(0)).unionByName(live.withColumn("_live", F.lit(1)), allowMissingColumns=True)
     seen = seen.withColumn("seq", F.struct("_live", "seq"))
     state = [*FLAGS, *HIGHEST, *LONGEST, *LATEST]
+    if ranges:
+        seen = seen.repartitionByRange(ranges, key)
     if unique:
-        now = merged(seen, key, _before=F.max(F.when(F.col("_live") == 0, F.struct(*state))))
+        now = merged(seen, key, **more, _before=F.max(F.when(F.col("_live") == 0, F.struct(*state))))
     else:
         now = merged(seen, key).join(merged(store, key).select(key, F.struct(*state).alias("_before")), key, "left")
     same = F.struct(*state).eqNullSafe(F.col("_before"))
