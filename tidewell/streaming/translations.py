@@ -59,9 +59,11 @@ class TranslationQueue:
         earlier = self.outcome(number)
         left = earlier.filter("translated is null").select("chunk", F.lit(-1).cast("long").alias("seq"), F.lit(-1).alias("pos"))
         asked = batch.select("chunk", F.col("seq").cast("long"), F.col("pos").cast("int")).unionByName(left).filter(F.trim(F.coalesce("chunk", F.lit(""))) != "")
-        first = asked.groupBy("chunk").agg(F.min(F.struct("seq", "pos")).alias("at"))
+        # chunks are known by their SHA-256, so what is in the cache is moved as 32 bytes each
+        digest = F.unhex(F.sha2("chunk", 256)).alias("digest")
+        first = asked.groupBy(digest).agg(F.any_value("chunk").alias("chunk"), F.min(F.struct("seq", "pos")).alias("at"))
         lane = F.pmod(F.xxhash64("chunk"), F.lit(self.lanes)).cast("int")
-        pending = first.join(self.cache(number), "chunk", "left_anti").select("chunk", "at", lane.alias("lane"))
+        pending = first.join(self.cache(number).select(digest), "digest", "left_anti").select("chunk", "at", lane.alias("lane"))
         state = earlier.filter(F.col("run") == self.run).groupBy("lane").agg(F.max_by("failed", F.struct("batch", "request")).alias("failed"))  # a row a lane
         rows = pending.join(F.broadcast(state), "lane", "left").select("lane", "at", "chunk", F.coalesce("failed", F.lit(0)).alias("failed"))
         rows = rows.repartition(self.lanes, "lane").sortWithinPartitions("lane", "at", "chunk").select("lane", "chunk", "failed")
