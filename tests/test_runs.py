@@ -142,3 +142,18 @@ def test_samples_survive_deletions(spark):
         left = now.filter(F.col("seq") >= gone)
         samples = written(counters.resampled(samples, judged, left, n=2), "samples")
         assert [r["post_key"] for r in counters.period_samples(samples, *map(F.lit, PERIOD), n=2).orderBy("rank").collect()] == [f"k{gone:03}", f"k{gone + 1:03}"], step
+
+
+def test_files_of_a_run_are_ranges(spark, tmp_path):
+    """An upsert's files don't overlap, whatever the number of shuffle partitions: a key is looked for in one file a run."""
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        batches = random_batches(spark, 3, 300, 240, 7)
+        for rows_per_file in (100, 10_000):
+            runs = RunStore(spark, str(tmp_path / f"s{rows_per_file}"), rows_per_file=rows_per_file)
+            for batch in batches:
+                runs.upsert(batch)
+            assert state(runs.read()) == state(whole_merge(batches, 3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

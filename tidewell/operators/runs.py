@@ -101,6 +101,9 @@ class RunStore:
         each = keys.groupBy("_file").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(F.lit(1)).alias("n"))
         each.write.mode("overwrite").parquet(f"{self.root}/summary/{step}")
         summary = self.spark.read.parquet(f"{self.root}/summary/{step}")
+        fresh = sorted(summary.filter("low is not null").collect(), key=lambda r: r["low"])  # a row a file
+        if any(a["high"] >= b["low"] for a, b in zip(fresh, fresh[1:])):
+            raise ValueError(f"files of {step} overlap: keys would not be found")
         placed = keys.join(summary.select("_file", "n"), "_file").select("_file", *self._bit())
         blooms = placed.groupBy("_file", "bitmap").agg(F.bitmap_construct_agg("bit").alias("bits"))
         blooms.write.mode("overwrite").parquet(f"{self.root}/blooms/{step}")
