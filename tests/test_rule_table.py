@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import rules
+from tidewell.operators import rule_table, rules
 from tidewell.operators.rule_table import rule_table_counts
 from tidewell.operators.scan import Scan
 from tidewell.queries import CATEGORIES, KEYWORD_RULES
@@ -24,6 +24,19 @@ def test_rule_table_equals_the_automaton(spark, sf_dir):
     assert rule_table_counts(posts.limit(0), table, "k", F.col("body")).collect() == rule_table_counts(posts, table.limit(0), "k", F.col("body")).collect() == []
 
 
+def test_only_hits_go_on_to_the_join(spark):
+    """Neither pass over the texts hands on more than what the rules ask for; before, each text's q-grams all went to the JVM."""
+    texts = spark.range(4000).select(F.col("id").alias("row"), F.concat(F.lit("the ipsum is number "), "id", F.lit(" of very many ipsum"), F.repeat(F.lit(" words"), 40)).alias("t")).repartition(4)
+    grams = rule_table._alias_grams(spark.createDataFrame([("ipsum",), ("sit",)], "alias string"), 4)
+    assert sorted(r["alias"] for r in grams.collect()) == ["ipsum", "ipsum", "sit"]
+    bits = spark.sparkContext.broadcast(rule_table._bitmap(grams))
+    sums = rule_table._summed(texts, [3, 4], bits)
+    assert sums.count() <= 3 * sums.rdd.getNumPartitions()
+    known = {r["gram"] for r in grams.filter("alias = 'ipsum'").collect()}
+    assert {r["gram"]: r["n"] for r in sums.groupBy("gram").agg(F.sum("n").alias("n")).collect()} == dict.fromkeys(known, 8000)
+    assert sorted(map(tuple, rule_table._met(texts, [3, 4], bits).collect())) == sorted((k, g) for k in range(4000) for g in known)
+
+
 def test_scans_equal_windows(spark):
     """Half of all rows have one key, which lies in many stretches; some stretches have fewer rows of a key than the frame."""
     key = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 31 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id") % 97))
