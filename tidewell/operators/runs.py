@@ -25,6 +25,8 @@ from .store import FLAGS, HIGHEST, LATEST, LONGEST, merged, upsert
 STATE = [*FLAGS, *HIGHEST, *LONGEST, *LATEST]
 #: Bits of a file's bitmaps for each key (3 % of the keys that a file lacks seem to be there), and of one bitmap.
 BITS, BITMAP = 32, 32_768
+#: Keys of a batch whose hashes may be broadcast; and how many times a larger batch's rows those of its files may be, to go along whole.
+KEYS, ALONG = 1_000_000, 4
 
 
 class RunStore:
@@ -96,7 +98,7 @@ class RunStore:
     def _write_run(self, rows: DataFrame, step: str, most: int | None) -> dict[str, list]:
         """Writes rows, at most `most` (None: they lie in ranges already), in order of key, then the summary and the bitmaps of the files."""
         rows = rows if most is None else rows.repartitionByRange(self._files(most), self.key)
-        rows.sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.root}/runs/{step}")
+        rows.sortWithinPartitions(self.key).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/runs/{step}")
         keys = self.spark.read.parquet(f"{self.root}/runs/{step}").select(self.key, F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+/[^/]+)$", 1).alias("_file"))
         each = keys.groupBy("_file").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(F.lit(1)).alias("n"))
         each.write.mode("overwrite").parquet(f"{self.root}/summary/{step}")
@@ -131,6 +133,18 @@ class RunStore:
         marked = found.join(blooms, ["_file", "bitmap"]).filter(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)), F.lit(2)) == 1)
         return marked.select("_file", self.key)
 
+    def _known(self, touched: dict[str, list], dead: DataFrame | None, batch: DataFrame, most: int) -> tuple[DataFrame, int]:
+        """The rows of the touched files that meet the batch, and how many rows they and the batch are at most. Whole rows of the
+        store are not moved for this alone: a batch of few keys is broadcast as hashes (others that share one come out
+        unchanged); of a large one all rows of its files go along, as they are moved once then."""
+        known, stored = self._live(touched, dead), sum(n - struck for _, n, struck in touched.values())
+        if most <= KEYS:
+            hashes = batch.select(F.xxhash64(self.key).alias("_hash")).distinct()
+            return known.withColumn("_hash", F.xxhash64(self.key)).join(F.broadcast(hashes), "_hash", "left_semi").drop("_hash"), most
+        if stored <= ALONG * most:
+            return known, stored + most
+        return known.join(batch.select(self.key), self.key, "left_semi"), most
+
     def upsert(self, live: DataFrame) -> DataFrame:
         """Merges live (key, seq and fields, several rows a key or none) into the store as a new version. Returns the rows that
         changed: key, change (new or updated), before and now, structs of seq and the fields. A sighting that changes no field
@@ -141,19 +155,19 @@ class RunStore:
         step, known, touched = f"{version}-{uuid.uuid4().hex[:12]}", None, {}
         batch, most = merged(live, self.key).drop("n_seen"), None
         if now["files"]:
-            batch.write.parquet(f"{self.root}/batches/{step}")
+            batch.write.option("compression", "zstd").parquet(f"{self.root}/batches/{step}")
             batch = self.spark.read.parquet(f"{self.root}/batches/{step}")
             most = batch.count()
             self.holders(batch, now["files"]).write.parquet(f"{self.root}/holders/{step}")
             holders = self.spark.read.parquet(f"{self.root}/holders/{step}")
             touched = {r[0]: now["files"][r[0]] for r in holders.select("_file").distinct().collect()}  # a row a file
             if touched:
-                known = self._live(touched, self._dead(now)).join(batch.select(self.key), self.key, "left_semi")
+                known, rows = self._known(touched, self._dead(now), batch, most)
         self.touched = {"read": len(touched), "of": len(now["files"]), "written": 0}
         if known is None:
             changed = batch.withColumns({"change": F.lit("new"), "replaces": F.lit(None).cast("string")})
         else:
-            changed = upsert(known, batch, self.key, unique=True, ranges=self._files(most), replaces=F.max("_file")).filter("change <> 'unchanged'")
+            changed = upsert(known, batch, self.key, unique=True, ranges=self._files(rows), replaces=F.max("_file")).filter("change <> 'unchanged'")
         changed = changed.select(self.key, "seq", *STATE, "change", "replaces")
         fresh = self._write_run(changed, step, None if known is not None else live.count() if most is None else most)
         run = self.spark.read.parquet(f"{self.root}/runs/{step}")
@@ -187,7 +201,7 @@ class RunStore:
             runs[v] = runs.get(v, 0) + n
         largest = max(runs.values(), default=0)
         few = {v for v, n in runs.items() if n < min(largest, self.small * self.rows_per_file)}
-        names = self.spark.createDataFrame([(f, x[0] in few or x[2] > most_dead * x[1]) for f, x in files.items()], "_file string, chosen boolean")
+        names = self.spark.createDataFrame([(f, x[0] in few) for f, x in files.items()], "_file string, chosen boolean")
         summary = self._tables("summary", files)
         if summary is None:
             return {"rewritten": 0, "carried": 0, "written": 0}
@@ -199,7 +213,8 @@ class RunStore:
         at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
         met = sweep.groupBy("_file").agg((F.coalesce(at(1, "reach") >= at(1, "at"), F.lit(False)) | (at(2, "n") > at(1, "n"))).alias("met"))
         picked = met.filter("met").select("_file")
-        chosen = {r[0]: files[r[0]] for r in picked.collect()}  # a row a file
+        # a row a file; files with many struck rows need none of those that they overlap
+        chosen = {r[0]: files[r[0]] for r in picked.collect()} | {f: x for f, x in files.items() if x[2] > most_dead * x[1]}
         if len(chosen) < 2 and not any(x[2] for x in chosen.values()):
             return {"rewritten": 0, "carried": len(files), "written": 0}
         version = now["version"] + 1
