@@ -3,10 +3,11 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.streaming.stops import NAMES, ROCKSDB, Board, Feed, stops
+from tidewell.streaming.stops import NAMES, ROCKSDB, Board, Feed, StopRules, stops
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -113,3 +114,25 @@ def test_idle_runs_are_forgotten(spark, tmp_path):
     query.awaitTermination(240)
     assert query.exception() is None
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(F.col("run"), "rounds", "stop_reason").collect()] == [("a", 1, "idle")]
+
+
+class Held:
+    """A handle with its states in memory."""
+
+    def __init__(self):
+        self.value, self.map, self.timers = None, {}, []
+        self.getValueState = self.getMapState = lambda *_: self
+        self.exists, self.get, self.listTimers = lambda: self.value is not None, lambda: self.value, lambda: self.timers
+        self.containsKey, self.getValue, self.removeKey, self.updateValue = self.map.__contains__, self.map.get, self.map.pop, self.map.__setitem__
+        self.update, self.clear = lambda v: setattr(self, "value", v), self.map.clear
+        self.deleteTimer, self.registerTimer = self.timers.remove, self.timers.append
+
+
+def test_rounds_that_cannot_count_do_not_wait():
+    rules, held = StopRules(Board(most_rounds=5, old=99, stale=99), 1000), Held()
+    rules.init(held)
+    rows = lambda *numbers: pd.DataFrame([(n, pd.Timestamp(DAY), 1.0, None, 1, 1, 0, 0, 7) for n in numbers], columns=["round", "at", *NAMES])
+    assert list(rules.handleInputRows(("r",), iter([rows(*range(3, 1000))]), None)) == [] and sorted(k[0] for k in held.map) == [3, 4, 5]
+    (stop,) = rules.handleInputRows(("r",), iter([rows(2, 1, 7)]), None)
+    assert stop.values.tolist() == [["r", 5, "max_scrolls"]] and not held.map
+    assert list(rules.handleInputRows(("r",), iter([rows(6)]), None)) == []

@@ -1,8 +1,8 @@
 """Stop rules as state in a stream: each run's counters follow its rounds, and the first rule that holds ends the run.
 
 Rounds may come in any order and in any batches: a round that is ahead waits in the run's state until those before it are
-there, so the result does not depend on where the stream is cut. A run that has been idle for so long in event time, by
-the watermark, is forgotten and reported as such.
+there, so the result does not depend on where the stream is cut; rounds beyond the rules' most never count and never wait.
+A run that has been idle for so long in event time, by the watermark, is forgotten and reported as such.
 """
 
 from __future__ import annotations
@@ -100,13 +100,15 @@ class StopRules(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         counters = Counters(*self.counters.get()) if self.counters.exists() else Counters()
+        if counters.stopped:
+            return
         latest, here = 0, {}
         for some in rows:
             latest = max(latest, int(some["at"].max().value // 1_000_000))
+            # no run goes on after most_rounds, so later rounds never count: they needn't wait
+            some = some[(some["round"] > counters.rounds) & (some["round"] <= self.rules.most_rounds)]
             for number, *r in some[["round", *NAMES]].itertuples(index=False):
                 here.setdefault(int(number), tuple(_plain(x, n) for x, n in zip(r, NAMES, strict=True)))
-        if counters.stopped:
-            return
         reason = None
         while reason is None:
             number = counters.rounds + 1
