@@ -96,3 +96,20 @@ def test_stream_and_restart(spark, tmp_path):
         query.awaitTermination(200)
         assert query.exception() is None
     assert queue.cache().count() == 30 and queue.outcome().count() == 30 and queue.outcome().select("batch").distinct().count() == 3
+
+
+def test_the_lines_of_the_query_lie_in_a_file_a_partition(spark, sf_dir):
+    """So that no task reads a fixed share of all lines."""
+    from pathlib import Path
+
+    from tidewell.run_queries import translations_stream
+    from tidewell.scratch import shared_folder
+
+    files = lambda: {p for p in Path(shared_folder(spark).removeprefix("file://").removeprefix("file:")).glob("translations-*/lines/part-*")}
+    before, n = files(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        translations_stream(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert len(files() - before) == 6

@@ -156,7 +156,7 @@ def rule_table_counts(spark, sf_dir):
 # translations: lines of the documents; the stand-in translator writes E for e and fails on some lengths
 @query("WITH l AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS chunk FROM documents) SELECT chunk, trim(replace(chunk, 'e', 'E'), ' ' || chr(9) || chr(13)) AS translated FROM l WHERE length(chunk) % 7 <> 3 AND trim(chunk, ' ') <> '' AND trim(chunk, ' ' || chr(9) || chr(13)) <> ''")
 def translations_stream(spark, sf_dir):
-    """The lines of all documents as a stream of several batches; a line that many batches have is sent once."""
+    """The lines of all documents as a stream of two batches; a line that many batches have is sent once."""
 
     def send(texts):
         return [None if len(t) % 7 == 3 else t.replace("e", "E") for t in texts]
@@ -164,8 +164,9 @@ def translations_stream(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_folder(spark)}/translations-{uuid.uuid4().hex}"
     lines = docs.select(F.posexplode(F.split("text", "\n")).alias("pos", "chunk"), F.col("doc_id").alias("seq")).select("chunk", "seq", "pos")
-    lines.repartition(4).write.parquet(f"{root}/lines")
-    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/lines")
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartition(files).write.parquet(f"{root}/lines")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(f"{root}/lines")
     queue = TranslationQueue(spark, root, send, "run", lanes=32, failures=1_000_000_000)
     queue.start(source, f"{root}/checkpoint").awaitTermination()
     return queue.cache()
