@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -604,3 +605,14 @@ def test_pipeline(spark, sf_dir, odd, nothing):
         for _, stage in p.STAGES:
             now = stage(spark, now, sf_dir)
         now.count()
+
+
+def test_transducer_keeps_the_states_of_many_rare_pieces():
+    """Texts of 100 MB have more than 100,000 states; made anew over and over, they took a quarter of the time."""
+    r = random.Random(6)
+    t = transducer.Transducer(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    pieces = ["".join(r.choice("etaoinshrdlu") for _ in range(16)).encode() for _ in range(30_000)]
+    ids = [t.encode(p) for p in pieces]
+    assert len(t.states) > 100_000
+    t._step = None
+    assert [t.encode(p) for p in pieces] == ids and [b"".join(map(t.bytes_of.__getitem__, x)) for x in ids] == pieces

@@ -36,14 +36,14 @@ ANY = -2
 class Transducer:
     """Encodes single pieces with the ranks of a .tiktoken vocabulary."""
 
-    def __init__(self, path: str, states: int = 100_000):
+    def __init__(self, path: str, states: int = 300_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.prefixes = {token[:k] for token in self.ranks for k in range(1, len(token))}
         self.limit = states
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.apart = Memo(lambda pair: self.compatible(*pair), 300_000)
+        self.apart = Memo(lambda pair: self.compatible(*pair), 600_000)
         self.seen = Memo(self._candidates, 300_000)
         self._clear()
 
