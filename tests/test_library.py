@@ -277,3 +277,14 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 5 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_page_postings_read_a_page_in_one_function(spark):
+    """One Python function, in one place of the plan; the first posting of several scripts, entities resolved, pages without one go."""
+    script = lambda x: f'<script type="application/ld+json">{x}</script>'
+    post = lambda h: json.dumps({"@type": "SocialMediaPosting", "headline": h, "text": "a &amp;  b", "author": {"name": " w&lt; "}})
+    html = [(1, script("no json") + script("[]") + script(post("one")) + script(post("two"))), (2, script('{"@type": "Other"}')), (3, None), (4, script(post("&eacute;"))), (4, "x")]
+    got = pages.page_postings(spark.createDataFrame(html, "seq long, html string"))
+    assert sorted(map(tuple, got.select("seq", "headline", "description", "author", "published_at").collect())) == [(1, "one", "a & b", "w<", ""), (4, "é", "a & b", "w<", "")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan") if "Initial Plan" in plan else len(plan)].count("ArrowEvalPython") == 1
