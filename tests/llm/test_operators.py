@@ -616,3 +616,29 @@ def test_transducer_keeps_the_states_of_many_rare_pieces():
     assert len(t.states) > 100_000
     t._step = None
     assert [t.encode(p) for p in pieces] == ids and [b"".join(map(t.bytes_of.__getitem__, x)) for x in ids] == pieces
+
+
+def test_text_search_carries_thresholds(monkeypatch):
+    """A task goes through several shards: in later ones only documents that reach a query's k best so far come back, ties included."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(r.random() ** 3 * 300)}" for _ in range(40)) for _ in range(900)]
+    texts[880] = texts[0]  # a tie across shards
+    index = [text_search.index_shard(pd.DataFrame({"shard": s, "doc_id": range(s, 900, 3), "text": texts[s::3]})) for s in range(3)]
+    monkeypatch.setattr(text_search, "_load", lambda uri, columns: index[int(uri)].to_dict("records"))
+    of, df = text_search.Words(), Counter()
+    for t in texts:
+        df.update(of(t)[0].tolist())
+    asked = [(k, of(texts[k])[0], np.array([df[w] for w in of(texts[k])[0].tolist()])) for k in range(0, 900, 20)]
+    asked = [(at, *rest) for at, (_, *rest) in enumerate(asked)]
+    shards = [text_search.Shard(str(s), (900, 40.0)) for s in range(3)]
+    best = text_search.Best(len(asked), 5)
+    apart, carried = ([[(q, *rest) for q, *rest in s.search(asked, 5, *more)] for s in shards] for more in ((), (best,)))
+
+    def merged(found):
+        out = [sorted((-p, d) for shard in found for q, ids, points in shard if q == k for d, p in zip(ids.tolist(), points.tolist(), strict=True))[:5] for k in range(len(asked))]
+        return out
+
+    assert merged(carried) == merged(apart) and (best.floors == [-m[-1][0] for m in merged(apart)]).all()
+    rows = lambda found: sum(len(ids) for shard in found for _, ids, _ in shard)
+    assert rows(carried) < 0.8 * rows(apart)
+    assert [text_search.run_length(*x, 6) for x in ((11, 1), (53, 2), (4000, 90), (1, 1))] == [1, 8, 32, 1]
