@@ -282,6 +282,31 @@ def test_portions():
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 1_000_000 for b in some) and list(alignment.portions(batch.slice(0, 0))) == []
 
 
+def test_alignment_parts(spark):
+    """Parts that repeat are tokenised and aligned once a portion; the documents are those of plain sums."""
+    texts = ["the don't stop the", "the  the \n", "the\tthe the", None, "", "stop\nthe", "the▁ the", "\n", " ", "xylophones\u3000the", "the " * 300]
+    rows = [(k, t) for k, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    paths = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    (portion,) = alignment.token_parts(docs, *paths).collect()
+    total = sum(d["n_a"] + d["n_b"] for d in portion["docs"])
+    assert portion["upto"][-1] == len(portion["a_marks"]) + len(portion["b_marks"]) < 100 < 1000 < total and len(portion["docs"]) == len(rows)
+    held_against(alignment.aligned_documents(docs, *paths), plain_alignment(rows))
+    held_against(alignment.aligned_documents(docs.filter("text is null"), *paths), [(k, 0, 0, 0, 0, 0, 0, "") for k, t in rows if t is None])
+
+
+def test_alignment_bytes_not_given_back():
+    """A part whose bytes a vocabulary changes goes alone into the whole text, and that has no tokens; its neighbours keep theirs."""
+    pair = alignment.Pair(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    ids = pair.ids
+    pair.ids = lambda text: None if "bad" in text else ids(text)
+    portion = alignment.Portion(pair)
+    for k, t in enumerate(["one two", "one bad two", "bad", "two"]):
+        portion.add(k, pair.parts(t))
+    docs = portion.batch().to_pylist()[0]["docs"]
+    assert [len(d["parts"]) for d in docs] == [2, 0, 0, 1] and [d["n_a"] > 0 for d in docs] == [True, False, False, True]
+
+
 def test_alignment_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, links int")
     assert alignment.aligned_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")).collect() == []
