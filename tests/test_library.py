@@ -288,3 +288,10 @@ def test_page_postings_read_a_page_in_one_function(spark):
     assert sorted(map(tuple, got.select("seq", "headline", "description", "author", "published_at").collect())) == [(1, "one", "a & b", "w<", ""), (4, "é", "a & b", "w<", "")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan[: plan.find("Initial Plan") if "Initial Plan" in plan else len(plan)].count("ArrowEvalPython") == 1
+
+
+def test_list_pages_name_writers_and_times(spark, sf_dir):
+    """Each document has a page whose nearest line is its writer and one whose nearest line is a time or a date."""
+    got = sorted((r["seq"], r["author"]) for r in QUERIES["list_pages"](spark, sf_dir).select("seq", "author").collect())
+    ids = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()]
+    assert got == sorted((n, who) for n in ids for who in (("news", "news") if n % 3 == 0 else (f"writer{n}", "06:40" if n % 3 == 1 else "12-30")))
