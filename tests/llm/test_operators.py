@@ -642,3 +642,22 @@ def test_text_search_carries_thresholds(monkeypatch):
     rows = lambda found: sum(len(ids) for shard in found for _, ids, _ in shard)
     assert rows(carried) < 0.8 * rows(apart)
     assert [text_search.run_length(*x, 6) for x in ((11, 1), (53, 2), (4000, 90), (1, 1))] == [1, 8, 32, 1]
+
+
+def test_text_search_shards_together(monkeypatch):
+    """Shards that are searched as one give what they give apart, in queries that were prepared once; sums may pass 32 bits."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{int(r.random() ** 3 * 500)}" for _ in range(50)) for _ in range(600)]
+    texts[7] = texts[400] = " ".join(f"x{k}" for k in range(900))  # about 11 million a word
+    index = [text_search.index_shard(pd.DataFrame({"shard": s, "doc_id": range(s, 600, 3), "text": texts[s::3]})) for s in range(3)]
+    monkeypatch.setattr(text_search, "_load", lambda uri, columns: index[int(uri)].to_dict("records"))
+    of, df = text_search.Words(), Counter()
+    for t in texts:
+        df.update(of(t)[0].tolist())
+    queries = [(k, of(texts[k])[0], np.array([df[w] for w in of(texts[k])[0].tolist()])) for k in range(0, 600, 10)] + [(7, of(texts[7])[0], np.full(900, 2))]
+    stats, asked = (10_000_000, 900.0), text_search.Asked(queries)
+    found = [(q, -p, d) for s in range(3) for q, ids, points in text_search.Shard(str(s), stats).search(asked, 8) for d, p in zip(ids.tolist(), points.tolist(), strict=True)]
+    apart = {q: sorted(x for x in found if x[0] == q)[:8] for q, *_ in queries}
+    found = [(q, -p, d) for q, ids, points in text_search.Shard(("0", "1", "2"), stats).search(asked, 8) for d, p in zip(ids.tolist(), points.tolist(), strict=True)]
+    assert {q: sorted(x for x in found if x[0] == q) for q, *_ in queries} == apart
+    assert [d for *_, d in apart[7]] == [7, 400] and -apart[7][0][1] > 2**32
